@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, url_filter
+from . import bpe, mixing, near_dedup, url_filter
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), BPE_FILE, limit=512)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_bpe": op4_bpe,
     "op7_token_counts": op7_token_counts,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
