@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, url_filter
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), BPE_FILE, limit=512)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "line_dedup_.n_lines", "line_dedup_.n_removed")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_bpe": op4_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
@@ -88,4 +94,19 @@ def _mixing_sql() -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(fitted, 8) AS weight, round(prob, 8) AS prob, {draw} < prob AS kept FROM d JOIN r USING (source, lang, topic)"
 
 
-ORACLE_SQL = {"op1_mixing": _mixing_sql(), "op10_url_filter": OP10_SQL}
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
+w AS (SELECT doc_id, i, sum(len(regexp_extract_all(l, '[^ \\t\\n\\v\\f\\r]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS c, len(regexp_extract_all(l, '[^ \\t\\n\\v\\f\\r]+')) AS w FROM l),
+s AS (
+  SELECT a.doc_id, a.i AS x, min(b.i) AS y FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= {line_dedup.MIN_WORDS} GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS x, b.i AS y FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= {line_dedup.MIN_WORDS} GROUP BY b.doc_id, b.i),
+t AS (SELECT doc_id, x, y, array_to_string(ls[x + 1 : y + 1], chr(10)) AS run FROM s JOIN d USING (doc_id)),
+f AS (SELECT doc_id, x, y, row_number() OVER (PARTITION BY run ORDER BY doc_id, x) AS copy FROM t),
+g AS (SELECT DISTINCT doc_id, unnest(range(x, y + 1)) AS i FROM f WHERE copy > 1)
+SELECT l.doc_id, coalesce(string_agg(l.l, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(*) AS n_lines, count(g.i) AS n_removed
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+"""
+
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op1_mixing": _mixing_sql(), "op10_url_filter": OP10_SQL}
