@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, mixing, near_dedup, url_filter
+from . import bpe, html_extract, line_dedup, mixing, near_dedup, toxicity, url_filter
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,11 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), BPE_FILE, limit=512)
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_bpe": op4_bpe,
     "op5_html_extract": op5_html_extract,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
