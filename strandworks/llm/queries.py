@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, mixing, near_dedup, toxicity, url_filter
+from . import ann, bpe, html_extract, line_dedup, mixing, near_dedup, topk, toxicity, url_filter
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BPE_FILE)
 
@@ -52,6 +60,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_topk": op2_topk,
+    "op3_ann": op3_ann,
     "op4_bpe": op4_bpe,
     "op5_html_extract": op5_html_extract,
     "op6_toxicity": op6_toxicity,
@@ -120,4 +130,11 @@ SELECT l.doc_id, coalesce(string_agg(l.l, chr(10) ORDER BY l.i) FILTER (WHERE g.
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """
 
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op1_mixing": _mixing_sql(), "op10_url_filter": OP10_SQL}
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op1_mixing": _mixing_sql(), "op10_url_filter": OP10_SQL}
