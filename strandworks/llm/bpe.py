@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -250,16 +251,33 @@ def _texts(batch: pd.DataFrame) -> list[str]:
     return [t if isinstance(t, str) else "" for t in batch["text"]]
 
 
-def with_ids(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<long>, decoded string of every row of ``docs``."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = encode_texts(shared.value, _texts(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.frombuffer(x, "<u4").astype(np.int64) for x in packed], "decoded": [decode_ids(shared.value, x) for x in packed]})
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            packed = encode_texts(shared.value, texts)
+            n = np.array([len(x) // 4 for x in packed], np.int64)
+            flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
+            digest = [hashlib.sha256(decode_ids(shared.value, x).encode()).hexdigest() for x in packed]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), ids, pa.array(digest, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
+def decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """doc_id, text of every row of ``tokens`` (doc_id, ids)."""
+    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [decode_ids(shared.value, np.array(x or [], "<u4").tobytes()) for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<long>, decoded string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
