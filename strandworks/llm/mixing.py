@@ -28,7 +28,7 @@ DIMS = ("source", "lang", "topic")
 #: First that matches; else prose.
 TOPICS = (("contact", "[a-z0-9]@[a-z0-9]"), ("licence", "[Ll]icen[cs]e"), ("figures", "[0-9]{4}"))
 #: Default targets: shares in proportion to tokens to this power, so that large sources count for less.
-TEMPERATURE = 0.7
+TEMPERATURE = 0.9
 ROUNDS = 8
 SEED = "mix-1"
 
