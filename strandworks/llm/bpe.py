@@ -31,14 +31,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 #: Fixed values of the byte-level pre-tokenizer: Unicode white space, and the pattern with it spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: The same on texts of ASCII alone, for the faster of the two expression libraries.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Characters of text tokenized at once, and pre-tokens that a worker remembers.
-CHUNK_CHARS = 8_000_000
-REMEMBERED = 400_000
+CHUNK_CHARS = 2_000_000
+REMEMBERED = 250_000
 
 split_any = regex.compile(PATTERN).findall
 split_ascii = re.compile(ASCII_PATTERN).findall
@@ -265,7 +267,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             digest = [hashlib.sha256(decode_ids(shared.value, x).encode()).hexdigest() for x in packed]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), ids, pa.array(digest, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -277,7 +279,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
             texts = [decode_ids(shared.value, np.array(x or [], "<u4").tobytes()) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_small_batches(tokens).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -296,7 +298,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -311,4 +313,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             n = count_texts(vocab, whole, texts)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

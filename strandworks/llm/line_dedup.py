@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_small_batches, saved
 
 MIN_WORDS = 50
 _NONE = -(1 << 63)
@@ -62,7 +62,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 words += [len(x.split()) for x in lines]
             yield pd.DataFrame({"own": own, "twin": twin, "line": at, "id": ids, "words": words})
 
-    return docs.filter("text is not null").select(*_own(), "text").mapInPandas(run, "own long, twin long, line long, id binary, words long")
+    return in_small_batches(docs).filter("text is not null").select(*_own(), "text").mapInPandas(run, "own long, twin long, line long, id binary, words long")
 
 
 def ranked(found: DataFrame, by: list[str]) -> DataFrame:

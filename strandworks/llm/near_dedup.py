@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_small_batches, saved
 from .components import components
 
 WORDS = 5
@@ -47,7 +47,7 @@ STARS = 2
 #: Cells of the table of shingle counts that orders shingles by rarity: a fixed size, so it may be broadcast.
 CELLS = 1 << 18
 #: Bytes of text sketched at once, and shingles hashed at once.
-CHUNK_BYTES, SLICE = 2_000_000, 1 << 15
+CHUNK_BYTES, SLICE = 500_000, 1 << 14
 
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             rows = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), sketch(x)) if len(x) else (0, None, None) for x in shingle_sets(_texts(batch))]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

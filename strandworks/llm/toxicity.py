@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches, saved
+
 #: Bound of the labelled rows that the grammar is fitted on.
 SAMPLE = 10_000
 FOLDS = 5
@@ -188,8 +190,6 @@ def significant(terms: DataFrame, share: float, n_terms: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    from .common import saved
-
     rows = saved(training_rows(docs, labels, sample), "toxic-sample")
     counts = saved(word_counts(rows), "toxic-words")
     good, bad, n = counts.agg(F.sum("good"), F.sum("bad"), F.count("*")).first()  # three numbers
@@ -233,7 +233,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": shared.value.scores(_texts(batch))})
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    rows = in_small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -245,4 +245,4 @@ def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             yield batch[shared.value.scores(_texts(batch)) < 0.5]
 
-    return docs.mapInPandas(run, docs.schema)
+    return in_small_batches(docs).mapInPandas(run, docs.schema)
