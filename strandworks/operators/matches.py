@@ -114,7 +114,8 @@ def without_close(matches: DataFrame, max_gap: int = 1) -> DataFrame:
                     if not any((q + i, d + j) in kept for i in reach for j in reach):
                         kept.add((q, d))
                         out.append((query, db, q, d, r["kmer"]))
-            yield pd.DataFrame(out, columns=["query_id", "db_id", "query_pos", "db_pos", "kmer"])
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "db_id", "query_pos", "db_pos", "kmer"])
 
     rows = matches.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("db_pos", "query_pos", "kmer"))).alias("rows"))
     return rows.mapInPandas(scan, matches.select(*PAIR, "query_pos", "db_pos", "kmer").schema)

@@ -94,7 +94,8 @@ def without_redundant(seeds: DataFrame, most: float = 0.5) -> DataFrame:
                     if not any(_share(r, k, "query") > most and _share(r, k, "db") > most for k in kept):
                         kept.append(r)
                         out.append((query, db, *(r[c] for c in names)))
-            yield pd.DataFrame(out, columns=[*PAIR, *names])
+            if out:
+                yield pd.DataFrame(out, columns=[*PAIR, *names])
 
     order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("first"), F.col("seed_id").alias("then"), *names)))
     return seeds.groupBy(*PAIR).agg(order.alias("rows")).mapInPandas(scan, seeds.select(*PAIR, *names).schema)
