@@ -37,7 +37,7 @@ from .vectors import best_of, matrix, one_each, usable
 
 TABLES, HASHES, WIDTH, SUCCESS = 3, 4, 1.6, 0.66
 REACH = 4  # cells to either side
-SAMPLE, SEGMENT, QUERY_BLOCK, SEED = 64, 16_384, 4096, 11
+SAMPLE, QUANTILE, SEGMENT, QUERY_BLOCK, SEED = 64, 0.8, 16_384, 4096, 11
 
 
 class Projections:
@@ -98,7 +98,7 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def neighbour_distance(good: DataFrame, asked: DataFrame, norm: float, k: int) -> float:
-    """The mean distance of the k-th neighbour of SAMPLE queries, over all rows."""
+    """The distance within which QUANTILE of SAMPLE queries have their k-th neighbour, over all rows."""
     picked = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows
     ids, q = picked["vec_id"].to_numpy(np.int64), _stack(picked["embedding"])
     q = q * (norm / np.sqrt((q * q).sum(axis=1)))[:, None]
@@ -112,8 +112,8 @@ def neighbour_distance(good: DataFrame, asked: DataFrame, norm: float, k: int) -
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep)), pa.array(np.tile(np.arange(keep), len(ids))), pa.array(top.ravel())], ["query_id", "vec_id", "score"])
 
     best = best_of(good.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double").filter(F.col("score") > float("-inf")), k)
-    mean = best.groupBy("query_id").agg(F.min("score").alias("score")).agg(F.avg("score")).first()[0]  # one number
-    return max(sqrt(max(2 * norm * norm - 2 * norm * (mean or 0.0), 0.0)), 0.05 * norm)
+    low = best.groupBy("query_id").agg(F.min("score").alias("score")).agg(F.percentile("score", F.lit(1 - QUANTILE))).first()[0]  # one number
+    return max(sqrt(max(2 * norm * norm - 2 * norm * (low or 0.0), 0.0)), 0.05 * norm)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, success: float = SUCCESS) -> DataFrame:
