@@ -30,8 +30,9 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import as_text, in_small_batches
 
 #: Fixed values of the byte-level pre-tokenizer: Unicode white space, and the pattern with it spelled out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -298,7 +299,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs).select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -313,4 +314,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             n = count_texts(vocab, whole, texts)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_small_batches(docs).select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, n_bytes long, n_tokens long, over_limit boolean").withColumn("doc_id", F.col("doc_id").cast("long"))

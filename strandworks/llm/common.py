@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,5 +44,10 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def as_text(number: str) -> Column:
+    """A column of whole numbers as strings: pandas would turn those beside nulls into inexact floats."""
+    return F.col(number).cast("string").alias(number)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,8 +27,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import as_text, in_small_batches
 from .html_training import labelled_pages
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?/][^>]*>|([^<]+|<)""", re.S)
@@ -364,4 +365,4 @@ def main_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
             texts = [t for k in range(0, len(source), BATCH) for t in extract(shared.value, source[k : k + BATCH])]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return in_small_batches(pages).select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(pages).select(as_text("page_id"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

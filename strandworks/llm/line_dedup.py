@@ -101,7 +101,8 @@ def stretches(repeated: DataFrame, min_words: int) -> DataFrame:
                             found.add((lines[start], last - start + 1))
                     first = end
                 out += [(own, twin, line, n) for line, n in found]
-            yield pd.DataFrame(out, columns=["own", "twin", "line", "n"])
+            if out:
+                yield pd.DataFrame(out, columns=["own", "twin", "line", "n"])
 
     return repeated.select(*KEY, "rows").mapInPandas(run, "own long, twin long, line long, n long")
 

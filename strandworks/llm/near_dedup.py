@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, saved
+from .common import as_text, in_small_batches, saved
 from .components import components
 
 WORDS = 5
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             rows = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), sketch(x)) if len(x) else (0, None, None) for x in shingle_sets(_texts(batch))]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return in_small_batches(docs).select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, set_key binary, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -31,11 +31,12 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, saved
+from .common import as_text, in_small_batches, saved
 
 #: Bound of the labelled rows that the grammar is fitted on.
 SAMPLE = 10_000
@@ -173,11 +174,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 mark = xxhash.xxh3_64_intdigest(text) >> 1
                 around = ["", *words, ""]
                 bad += {(w, xxhash.xxh3_64_intdigest(around[i] + " " + around[i + 2]) >> 1, mark) for i, w in enumerate(words)}
-            yield pd.DataFrame({"word": [*good, *(b[0] for b in bad)], "good": [*good.values(), *[0] * len(bad)], "place": pd.array([*[None] * len(good), *(b[1] for b in bad)], "Int64"), "mark": pd.array([*[None] * len(good), *(b[2] for b in bad)], "Int64")})
+            if good or bad:
+                yield pd.DataFrame({"word": [*good, *(b[0] for b in bad)], "good": [*good.values(), *[0] * len(bad)], "place": [*[-1] * len(good), *(b[1] for b in bad)], "mark": [*[-1] * len(good), *(b[2] for b in bad)]})
 
     places = rows.mapInPandas(run, "word string, good long, place long, mark long").filter(F.length("word").between(3, 40))
     once = places.groupBy("word", "place").agg(F.sum("good").alias("good"), F.min("mark").alias("mark"))
-    return once.groupBy("word").agg(F.sum("good").alias("good"), F.count("place").alias("bad"), F.countDistinct("mark").alias("docs"))
+    return once.groupBy("word").agg(F.sum("good").alias("good"), F.count_if(F.col("place") >= 0).alias("bad"), F.countDistinct(F.when(F.col("place") >= 0, F.col("mark"))).alias("docs"))
 
 
 def significant(terms: DataFrame, share: float, n_terms: int) -> DataFrame:
@@ -233,16 +235,17 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": shared.value.scores(_texts(batch))})
 
-    rows = in_small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = in_small_batches(docs).select(as_text("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id string, held_out boolean, score double")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """The rows of ``docs`` that the grammar does not reject."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[shared.value.scores(_texts(batch)) < 0.5]
+            scores = shared.value.scores([t or "" for t in batch["text"].to_pylist()])
+            yield batch.filter(pa.array(scores < 0.5))
 
-    return in_small_batches(docs).mapInPandas(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
