@@ -593,6 +593,80 @@ def edited_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.fold(seqs.select(F.col("seq_id").alias("session_id"), F.col("seq").alias("aligned1"), F.col("seq").alias("aligned2")), keys)
 
 
+# --- views of alignments ---------------------------------------------------------
+_CTX = "rpad(repeat(' ', greatest(10 - {c}, 0)) || substr({s}, greatest({c} - 10, 0) + 1, greatest(least({c} + 10, length({s})::INT - 1) - greatest({c} - 10, 0) + 1, 0)), 21, ' ')"
+
+
+@query(
+    f"""WITH {ITEMS}, t AS (SELECT pair_id, seq1, seq2, reverse(translate(seq2, 'ATGC', 'TACG')) AS rc, (length(seq1) // 2)::INT AS c, (length(seq2) // 2)::INT AS d, (length(seq2) - length(seq2) // 2 - 1)::INT AS e FROM ip),
+v AS (SELECT pair_id, {_CTX.format(s='seq1', c='c')} AS context1, {_CTX.format(s='seq2', c='d')} AS context2, {_CTX.format(s='rc', c='e')} AS context_rc FROM t)
+SELECT *, (SELECT string_agg(CASE WHEN substr(context1, i, 1) <> ' ' AND substr(context1, i, 1) = substr(context2, i, 1) THEN '|' ELSE ' ' END, '' ORDER BY i) FROM unnest(range(1, 22)) AS u(i)) AS line FROM v"""
+)
+def context_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of the middle letters on both strands, and their match line."""
+    rows = tables.item_pairs(spark, sf_dir).withColumns({"rc": S.reverse_complement("seq2"), "c": F.floor(F.length("seq1") / 2).cast("int"), "d": F.floor(F.length("seq2") / 2).cast("int")})
+    back = dotplot.forward_position(F.col("d"), F.length("seq2")).cast("int")
+    rows = rows.select("pair_id", S.context("seq1", F.col("c")).alias("context1"), S.context("seq2", F.col("d")).alias("context2"), S.context("rc", back).alias("context_rc"))
+    return rows.withColumn("line", S.context_match("context1", "context2"))
+
+
+@query(f"WITH {COLUMNS} SELECT pair_id, string_agg(CASE WHEN x = '-' OR y = '-' THEN '-3' WHEN x = y THEN '2' WHEN x || y IN ('AG', 'GA', 'CT', 'TC') THEN '0' ELSE '-2' END, ' ' ORDER BY i) AS line FROM c GROUP BY pair_id")
+def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gapped(spark, sf_dir).select("pair_id", S.score_line("a", "b", scoring.as_map(transition_matrix()), -3).alias("line"))
+
+
+@query(f"WITH {COLUMNS} SELECT pair_id, count(*) AS length, count(*) FILTER (WHERE x <> '-') AS length1, count(*) FILTER (WHERE y <> '-') AS length2, count(*) FILTER (WHERE x = '-' OR y = '-') AS gap_columns FROM c GROUP BY pair_id")
+def editor_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(gapped(spark, sf_dir).withColumn("e", scoring.editor_stats("a", "b")), "e", "pair_id")
+
+
+@query(
+    f"""WITH {COLUMNS}, r AS (SELECT *, count(*) FILTER (WHERE x <> '-') OVER w - (x <> '-')::INT AS p1, count(*) FILTER (WHERE y <> '-') OVER w - (y <> '-')::INT AS p2 FROM c WINDOW w AS (PARTITION BY pair_id ORDER BY i))
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY i) - 1 AS step, CASE WHEN x = '-' THEN 'gap1' WHEN y = '-' THEN 'gap2' WHEN x = y THEN 'match' ELSE 'mismatch' END AS kind, CASE WHEN x = '-' THEN greatest(p1 - 1, 0) ELSE p1 END::BIGINT AS pos1, CASE WHEN y = '-' THEN greatest(p2 - 1, 0) ELSE p2 END::BIGINT AS pos2
+FROM r WHERE x <> '-' OR y <> '-'"""
+)
+def alignment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gapped(spark, sf_dir).select("pair_id", F.posexplode(align.alignment_path("a", "b")).alias("step", "p"))
+    return rows.select("pair_id", F.col("step").cast("long").alias("step"), "p.kind", F.col("p.pos1").cast("long").alias("pos1"), F.col("p.pos2").cast("long").alias("pos2"))
+
+
+@query(
+    f"""WITH {COLUMNS}, r AS (SELECT *, count(*) FILTER (WHERE x <> '-') OVER w - 1 AS pos1, count(*) FILTER (WHERE y <> '-') OVER w - 1 AS pos2 FROM c WINDOW w AS (PARTITION BY pair_id ORDER BY i)) SELECT pair_id, pos1, pos2 FROM r WHERE x <> '-' AND y <> '-'"""
+)
+def paired_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gapped(spark, sf_dir).withColumn("zero", F.lit(0).cast("long"))
+    return rows.select("pair_id", F.explode(align.paired_positions("a", "b", "zero", "zero")).alias("c")).select("pair_id", "c.*")
+
+
+@query(
+    f"""WITH {_AFFINE}, g AS (SELECT pair_id, total_score + 2 * gap_openings AS mild, total_score, identity, gaps FROM f)
+SELECT pair_id, total_score - mild AS score_difference, identity - identity AS identity_difference, gaps - gaps AS gap_difference, total_score > mild AS better_score, identity > identity AS better_identity, gaps < gaps AS fewer_gaps FROM g"""
+)
+def compared_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each alignment under the default openings against the same under openings that cost 2 less."""
+    rows = gapped(spark, sf_dir).withColumns({"one": scoring.affine_score("a", "b"), "two": scoring.affine_score("a", "b", Affine(gap_open=-1))})
+    return flat(rows.withColumn("c", scoring.compare_alignments(F.col("one"), F.col("two"))), "c", "pair_id")
+
+
+@query(f"WITH {_NW} , l AS (SELECT pair_id, i, list_aggregate(list_transform(r, lambda v: lpad(v::VARCHAR, 4, ' ')), 'string_agg', '') AS line FROM fill) SELECT pair_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY pair_id")
+def matrix_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.matrix_text(align.matrix_cells(tables.part_pairs(spark, sf_dir)))
+
+
+@query()
+def local_hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as three lines of text with 1-based places."""
+    hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local(threshold=20))
+    return hits.select("pair_id", "hit", export.alignment_block("aligned1", "aligned2", F.col("start1"), F.col("start2"), F.col("end1"), F.col("end2")).alias("block"))
+
+
+@query(f"WITH {_DIAG_FINAL}, z AS (SELECT *, row_number() OVER (PARTITION BY query_id, db_id ORDER BY score DESC, seed_score DESC, seed_id) - 1 AS final_id FROM e) SELECT query_id, db_id, seed_id, score, final_id FROM z WHERE final_id = 0 AND query_start <= 30 AND query_end >= 10 AND identity >= 60 AND length >= 14")
+def extension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best extension of each pair, where it meets a region and the filters."""
+    ext = _diagonal(spark, sf_dir)["extensions"].filter("final_id = 0")
+    return seeds.at_least(seeds.overlapping_region(ext, "query", 10, 30), identity=60, length=14).select("query_id", "db_id", "seed_id", "score", "final_id")
+
+
 # --- example catalogs ------------------------------------------------------------
 @query()
 def catalog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
