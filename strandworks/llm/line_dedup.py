@@ -137,6 +137,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     dead = None
     for part in first:
         earliest = part.groupBy("n", "name", "last_name").agg(F.min(F.struct(*KEY, "line")).alias("earliest"), F.count("*").alias("times")).filter("times > 1").drop("times")
+        earliest = saved(earliest, "line-earliest")  # apart from the join, so that Spark can split a hot stretch there
         later = part.join(earliest, ["n", "name", "last_name"]).filter(F.struct(*KEY, "line") > F.col("earliest")).select(*KEY, "line", "n")
         dead = later if dead is None else dead.union(later)
     at = dead.select(*KEY, F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("at"))
