@@ -131,3 +131,20 @@ def test_seed_filters(spark):
 @pytest.mark.parametrize("window, high, want", [(0, 10, 1), (99, 15, 15), (7, 10, 7)])
 def test_clamp(spark, window, high, want):
     assert spark.range(1).select(validate.clamp_window(window, high).alias("w")).first().w == want
+
+
+def test_streamed_edits_equal_the_fold(spark, tmp_path):
+    from strandworks.streaming.editing import stream_edits
+
+    strokes = ["ArrowRight", "-", "Tab", "Delete", "ArrowLeft", " ", "Backspace", "-"]
+    rows = [(1, i, k, "ACGT", "ACG") for i, k in enumerate(strokes)]
+    schema = "session_id long, seq_no long, key string, aligned1 string, aligned2 string"
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stream_edits(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("edits").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    last = max(spark.table("edits").collect(), key=lambda r: r.n_keys)
+    sessions = spark.createDataFrame([(1, "ACGT", "ACG")], "session_id long, aligned1 string, aligned2 string")
+    want = editing.fold(sessions, spark.createDataFrame([r[:3] for r in rows], "session_id long, seq_no long, key string")).first()
+    assert tuple(last) == tuple(want)
