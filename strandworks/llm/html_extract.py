@@ -54,7 +54,7 @@ TAG_AT = {t: i for i, t in enumerate(TAGS)}
 GROUPS = {
     "nav": "nav menu breadcrumb pagination pager toc skip", "header": "header masthead topbar brand logo", "footer": "foot bottom copyright colophon legal",
     "side": "sidebar side aside widget related recommend trending popular more teaser", "notice": "cookie notice consent gdpr alert popup modal warning disclaim privacy overlay",
-    "ad": "ad ads advert advertis sponsor promo adbox banner adsense outbrain taboola", "form": "newsletter subscri signup search login contact form",
+    "ad": "ad ads adsby advert advertis sponsor promo adbox banner adsense outbrain taboola", "form": "newsletter subscri signup search login contact form",
     "comments": "comment repl respon discussion disqus reader user", "share": "share social tag tags toolbar follow",
     "article": "article content post entry story main text body",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-PAGES, SEED = 600, 7
+PAGES, SEED = 1200, 7
 
 #: Class and id names that pages use for each kind of block.
 NAMES = {
@@ -18,7 +18,7 @@ NAMES = {
     "footer": ["footer", "site-footer", "foot", "bottom", "copyright", "colophon", "footer-links"],
     "aside": ["sidebar", "aside", "widget", "related", "related-posts", "side-column", "recommended", "trending", "popular", "more-stories"],
     "notice": ["cookie-notice", "cookie-banner", "notice", "consent", "gdpr", "alert", "popup", "modal", "warning", "disclaimer", "privacy-notice"],
-    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "adbox", "ad-slot", "banner-ad", "promotion", "sponsor"],
+    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "adbox", "adsbygoogle", "ad-slot", "banner-ad", "promotion", "sponsor"],
     "form": ["newsletter", "subscribe", "signup", "search-form", "login", "contact-form", "search", "subscription"],
     "comments": ["comments", "comment-list", "comment-section", "replies", "responses", "discussion", "disqus_thread", "reader-comments", "user-comments"],
     "share": ["share", "social", "share-buttons", "tags", "toolbar", "follow-us"],
@@ -66,7 +66,7 @@ class _Page:
         if kind == "nav":
             inner = self.links()
         elif kind == "header":
-            inner = r.choice([f"<h1>{self.words(1, 4)}</h1>", self.link(), f"<p>{self.words(2, 9)}</p>", self.words(1, 9)]) + (self.junk("nav") if r.random() < 0.5 else "")
+            inner = r.choice([f"<h1>{self.words(1, 4)}</h1>", self.link(), f"<p>{self.words(2, 9)}</p>", self.words(1, 9), self.words(1, 9)]) + (self.junk("nav") if r.random() < 0.5 else "")
         elif kind == "footer":
             inner = r.choice([f"&copy; {self.words(1, 5)} &middot; {self.words(1, 25)}", f"<p>&copy; 2024 {self.words(2, 12)}</p>", self.links(), self.words(3, 30), f"<p>{self.words(4, 40)}</p>"])
         elif kind == "aside":
@@ -107,7 +107,7 @@ class _Page:
         r = self.rng
         a, b = self.open("article", 1) if boxed else ("", "")
         body = [f"<h1>{self.words(2, 12)}</h1>" if r.random() < 0.7 else ""] + [self.prose() for _ in range(r.randint(1, 14))]
-        if r.random() < 0.4:
+        for _ in range(r.choice([0, 0, 1, 2])):
             body.insert(r.randint(1, len(body)), self.junk(r.choice(["ad", "share", "aside", "form", "notice"])))
         if r.random() < 0.2:
             body.append(self.junk("comments"))
