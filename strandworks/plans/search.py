@@ -32,7 +32,8 @@ def summary(stages: dict[str, DataFrame]) -> DataFrame:
     """query_id, db_id: numbers of matches, seeds and results, and the best score (0 if none)."""
     pair = matches.PAIR
     m = stages["matches"].groupBy(*pair).agg(F.count("*").alias("matches"), F.countDistinct("kmer").alias("unique_kmers"))
-    s = stages["seeds"].groupBy(*pair).agg(F.count("*").alias("seeds"))
-    r = stages["results"].groupBy(*pair).agg(F.count("*").alias("results"), F.max("score").alias("best_score"))
-    out = m.join(s, pair, "left").join(r, pair, "left")
+    # each seed has one extension, so these tell of seeds and results both
+    good = F.col("score") > 0
+    e = stages["extensions"].groupBy(*pair).agg(F.count("*").alias("seeds"), F.count_if(good).alias("results"), F.max(F.when(good, F.col("score"))).alias("best_score"))
+    out = m.join(e, pair, "left")
     return out.select(*pair, "matches", "unique_kmers", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("seeds", "results")), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
