@@ -31,16 +31,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker holds at once; texts can be long.
-BATCH_ROWS = 1000
+#: Rows, and bytes of rows, that a Python worker gets at once; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches bounded to BATCH_ROWS, so that two workers fit beside an executor's heap."""
+    """``df``, with the session's Arrow batches bounded to BATCH_ROWS and BATCH_BYTES, so that two workers fit beside an executor's heap."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
