@@ -17,7 +17,8 @@ text is scored whole.
 
 Defined results: null and empty texts have no match and get the score of the
 constant alone; a row without doc_id is not held out; repeated rows give
-repeated results; without labels of both kinds no insult is learned and the
+repeated results; of labelled rows that share a doc_id the least text is
+learned from; without labels of both kinds no insult is learned and the
 prior weights hold; an empty table gives an empty result.
 """
 
@@ -157,7 +158,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """text, toxic of at most ``sample`` labelled rows outside the held-out fold."""
     own = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")  # at most ``sample`` small rows
+    known = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # at most ``sample`` small rows
+    return known.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("doc_id")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:

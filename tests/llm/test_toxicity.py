@@ -53,6 +53,16 @@ def test_edges(spark):
     assert X.score(empty_docs(spark), none).count() == 0 and not none.insults
 
 
+def test_sample_bounds_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, "c"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)] + [(1, 0)], "doc_id long, toxic int").withColumn("x", F.lit(1))
+    kept = [i for i in range(1, 5) if not spark.range(1).select(X.held_out(F.lit(i))).first()[0]]
+    want = {1: ("a", 1), 2: ("c", 0), 3: (None, 1), 4: ("d", 0)}
+    rows = [tuple(r) for r in X.training_rows(docs, labels).collect()]
+    assert sorted(rows, key=str) == sorted((want[i] for i in kept), key=str)
+    assert X.training_rows(docs, labels, sample=1).count() == 1
+
+
 def test_fold_by_crc32(spark):
     import zlib
 
