@@ -14,9 +14,9 @@ hash, and those of over SEGMENT vectors are split over as many segments as
 needed, so no task ever holds a hot bucket whole.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part; the table's vectors have one length (the longest
-is taken, others take no part); a query's own id is no candidate; rows that
-share a vec_id count once, with their best score; ties go to the smaller
+components take no part; the table's vectors have one length (the commonest,
+of equally common ones the shortest; others take no part); a query's own id is
+no candidate; rows that share a vec_id count once, with their best score; ties go to the smaller
 vec_id; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -120,7 +120,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     """query_id, rank, vec_id, score of the rows of ``vectors`` where ``is_query`` holds."""
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     good = usable(vectors).withColumn("square", square).filter("square > 0").withColumn("dims", F.size("embedding"))
-    dims = good.agg(F.max("dims")).first()[0] or 1  # one number
+    dims = good.agg(F.mode("dims", True)).first()[0] or 1  # one number
     good = good.filter(F.col("dims") == dims)
     n, n_queries, most = good.agg(F.count("*"), F.count_if(is_query), F.max("square")).first()  # three numbers
     norm = sqrt(most or 1.0)
