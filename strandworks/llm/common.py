@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="strandworks-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
