@@ -6,8 +6,10 @@ TABLES tables hashes by HASHES random projections cut into cells of width
 WIDTH (in units of that norm). A query visits its own bucket and perturbed
 ones in the order of the estimated probability that they hold a neighbour,
 until these add up to SUCCESS; a neighbour's distance is taken from the exact
-distances of SAMPLE queries. Candidates of all tables are ranked by the exact
-inner product of the original vectors.
+distances of SAMPLE queries. A query whose k-th found vector lies farther than
+that goes again with the distance found as its own, which its true neighbours
+cannot exceed; one that found fewer than k visits all buckets. Candidates of
+all tables are ranked by the exact inner product of the original vectors.
 
 Vectors are indexed by table and bucket; buckets are dealt to segments by
 hash, and those of over SEGMENT vectors are split over as many segments as
@@ -17,7 +19,7 @@ Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; the table's vectors have one length (the commonest,
 of equally common ones the shortest; others take no part); a query's own id is
 no candidate; rows that share a vec_id count once, with their best score; ties go to the smaller
-vec_id; an empty table gives an empty result; further columns are ignored.
+vec_id; with fewer candidates than ``k`` all are returned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from .vectors import best_of, matrix, one_each, usable
 
 TABLES, HASHES, WIDTH, SUCCESS = 3, 4, 1.6, 0.66
 REACH = 4  # cells to either side
+STRETCH = 1024  # vectors that a query of all buckets meets at once
 SAMPLE, QUANTILE, SEGMENT, QUERY_BLOCK, SEED = 64, 0.8, 16_384, 4096, 11
 
 
@@ -127,7 +130,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     asked = saved(one_each(good.filter(is_query)), "ann-queries")
     distance = neighbour_distance(good, asked, norm, k) if n_queries else norm
     cut = Projections(dims, norm, hashes, tables, width)
-    segments, blocks = max(1, -(-n // SEGMENT)), max(1, -(-n_queries // QUERY_BLOCK))
+    segments = max(1, -(-n // SEGMENT))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,11 +141,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = cut.scaled(matrix(batch["embedding"]))
+            q, reach = cut.scaled(matrix(batch["embedding"])), batch["reach"].to_pylist()
             for t in range(tables):
                 place = cut.places(q, t)
                 cell = np.floor(place / cut.width).astype(np.int64)
-                lists = [cut.code(np.array(probes(c, p, cut.width, distance, success), np.int64)) for c, p in zip(cell, place)]
+                lists = [cut.code(np.array(probes(c, p, cut.width, r, success), np.int64)) for c, p, r in zip(cell, place, reach)]
                 sizes = [len(x) for x in lists]
                 codes = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t, np.int32)), pa.array(codes), pa.array(np.repeat(batch["vec_id"].to_numpy(), sizes))], ["table", "bucket", "query_id"])
@@ -152,21 +155,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     hot = saved(rows.groupBy("table", "bucket").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("parts")).filter("parts > 1"), "ann-hot")
     segment = F.pmod(F.xxhash64("table", "bucket", "part"), F.lit(segments)).cast("int").alias("segment")
     rows = rows.join(hot, ["table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    rows = rows.select("table", segment, "bucket", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asks = asked.select("vec_id", "embedding").mapInArrow(visits, "table int, bucket long, query_id long").join(hot, ["table", "bucket"], "left")
-    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select("table", segment, "bucket", "query_id").groupBy("table", "segment", "query_id").agg(F.collect_set("bucket").alias("buckets"))
-    asks = asks.join(asked.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    rows = rows.select("table", segment, "bucket", "vec_id", "embedding")
+    keys = ["table", "segment", "block"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return meet(left, right, k)
 
-    keys = ["table", "segment", "block"]
-    found = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    return best_of(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    def probed(some: DataFrame, count: int) -> DataFrame:
+        """What the ``count`` queries ``some`` find within ``reach``, or in all buckets where that is null."""
+        blocks = max(1, -(-count // QUERY_BLOCK))
+        asks = some.filter("reach is not null").mapInArrow(visits, "table int, bucket long, query_id long").join(hot, ["table", "bucket"], "left")
+        asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select("table", segment, "bucket", "query_id").groupBy("table", "segment", "query_id").agg(F.collect_set("bucket").alias("buckets"))
+        whole = some.filter("reach is null").select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("buckets"))
+        asks = asks.unionByName(whole).join(some.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return asks.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        return best_of(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+
+    first = saved(best(probed(asked.withColumn("reach", F.lit(distance)), n_queries)), "ann-found")
+    last = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"), F.min("score").alias("score"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    far = F.sqrt(F.greatest(2 * norm * norm - 2 * norm * F.col("score") / length, F.lit(0.0)))
+    again = asked.join(last, "vec_id", "left").withColumn("reach", F.when(F.col("found") >= k, far))
+    again = saved(again.filter(F.col("reach").isNull() | (F.col("reach") > distance)).select("vec_id", "embedding", "reach"), "ann-again")
+    n_again = again.count()  # one number
+    return best(first.drop("rank").unionByName(probed(again, n_again))) if n_again else first
 
 
 def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """The k best of each query of ``left`` among the vectors of ``right`` in the buckets it visits."""
+    """The k best of each query of ``left`` among the vectors of ``right`` in the buckets it visits; null: in all."""
     names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
     if not len(left) or not len(right):
         return pa.table([pa.array([], t) for t in kinds], names)
@@ -174,7 +193,8 @@ def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     q, x = matrix(left["embedding"]), matrix(right["embedding"])
     lists = left["buckets"].combine_chunks()
     asked = lists.flatten().to_numpy()
-    asker = np.repeat(np.arange(len(queries)), np.diff(lists.offsets.to_numpy()))
+    asker = np.repeat(np.arange(len(queries)), lists.value_lengths().fill_null(0).to_numpy())
+    whole = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
     order = np.argsort(asked, kind="stable")
     asked, asker = asked[order], asker[order]
     order = np.argsort(right["bucket"].to_numpy(), kind="stable")
@@ -196,9 +216,13 @@ def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         floor[row[full]] = score[full]
         return [a[place < k] for a in (row, vec, score)]
 
-    for a, b in zip(*_runs(bucket)):
-        lo, hi = np.searchsorted(asked, bucket[a], "left"), np.searchsorted(asked, bucket[a], "right")
-        who = asker[lo:hi]
+    def meetings() -> Iterator[tuple[np.ndarray, int, int]]:
+        for a, b in zip(*_runs(bucket)):
+            yield asker[np.searchsorted(asked, bucket[a], "left") : np.searchsorted(asked, bucket[a], "right")], a, b
+        for a in range(0, len(bucket), STRETCH):
+            yield whole, a, min(a + STRETCH, len(bucket))
+
+    for who, a, b in meetings():
         if not len(who):
             continue
         s = q[who] @ x[a:b].T
