@@ -4,9 +4,14 @@ Documents fall into cells (source, language, topic). Token counts are summed
 by cell, and the cell weights are raked: in turn, each dimension's marginal is
 scaled to its target, until all three hold. The ratio of fitted to observed
 tokens, scaled so that the largest is 1, is the probability that a document
-of the cell is kept: in expectation the kept tokens have the target mix.
+of the cell is kept by ``prob``: in expectation the kept tokens have the target mix.
 The draw is a hash of the seed and doc_id, so it repeats.
 
+That scale follows one cell, however small, so ``kept`` and ``sample`` use
+another: ``rate``, the ratio of shares, is 1 on average, and what exceeds 1 is
+met by ``copies``, its whole part and one more by the draw on the rest. In
+expectation ``sample`` returns as many tokens as it was given, in the target mix.
+
 Only cells are summed and joined; documents are never shuffled: the table of
 cells is written, and Spark broadcasts it by its real size.
 
@@ -74,7 +79,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def cell_rates(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topics=TOPICS, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, weight, prob of each cell."""
+    """source, lang, topic, weight, prob, rate of each cell."""
     cells = saved(keyed(docs, topics).groupBy(*(F.col(f"mix_.{c}").alias(c) for c in DIMS)).agg(F.sum("mix_.n_tokens").alias("tokens")), "mix-sums")
     all_tokens = cells.agg(F.sum("tokens").cast("double")).first()[0]  # one number
     fit = cells.withColumn("fitted", F.col("tokens") / F.lit(all_tokens or 1.0))
@@ -88,18 +93,20 @@ def cell_rates(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
         fit = fit.join(given, dim, "left").withColumn(f"target_{dim}", F.coalesce(f"target_{dim}", F.lit(0.0)))
     fit = rake(fit, rounds).withColumn("ratio", F.col("fitted") / F.col("tokens"))
     top = fit.agg(F.max("ratio")).first()[0]  # one number
-    return saved(fit.select(*DIMS, F.col("fitted").alias("weight"), (F.col("ratio") / F.lit(top or 1.0)).alias("prob")), "mix-rates")
+    return saved(fit.select(*DIMS, F.col("fitted").alias("weight"), (F.col("ratio") / F.lit(top or 1.0)).alias("prob"), (F.col("ratio") * F.lit(all_tokens or 1.0)).alias("rate")), "mix-rates")
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, topics=TOPICS, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``mix_``: source, lang, topic, n_tokens, weight, prob, kept."""
-    rates = cell_rates(docs, targets, topics, temperature, rounds).select(F.struct(*DIMS).alias("cell_"), "weight", "prob")
+    """``docs`` with ``mix_``: source, lang, topic, n_tokens, weight, prob, copies, kept (at least one copy)."""
+    rates = cell_rates(docs, targets, topics, temperature, rounds).select(F.struct(*DIMS).alias("cell_"), "weight", "prob", "rate")
     own = keyed(docs, topics).withColumn("cell_", F.struct(*(F.col(f"mix_.{c}").alias(c) for c in DIMS)))
-    kept = draw(F.col("doc_id"), seed) < F.col("rate_.prob")
-    joined = own.join(rates.select("cell_", F.struct("weight", "prob").alias("rate_")), "cell_", "left")
-    return joined.withColumn("mix_", F.struct("mix_.*", "rate_.weight", "rate_.prob", kept.alias("kept"))).drop("cell_", "rate_")
+    whole = F.floor("rate_.rate").cast("int")
+    copies = whole + (draw(F.col("doc_id"), seed) < F.col("rate_.rate") - whole).cast("int")
+    joined = own.join(rates.select("cell_", F.struct("weight", "prob", "rate").alias("rate_")), "cell_", "left")
+    return joined.withColumn("mix_", F.struct("mix_.*", "rate_.weight", "rate_.prob", copies.alias("copies"), (copies > 0).alias("kept"))).drop("cell_", "rate_")
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The documents kept, with the columns of ``docs`` alone."""
-    return mix(docs, **options).filter("mix_.kept").select(*docs.columns)
+    """The documents, each as often as its ``copies`` say, with the columns of ``docs`` alone."""
+    kept = mix(docs, **options).filter("mix_.kept")
+    return kept.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("mix_.copies")))).select(*docs.columns)

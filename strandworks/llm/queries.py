@@ -16,7 +16,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix(docs).select(
         "doc_id", "mix_.source", "mix_.lang", "mix_.topic", "mix_.n_tokens",
-        F.round("mix_.weight", 8).alias("weight"), F.round("mix_.prob", 8).alias("prob"), "mix_.kept",
+        F.round("mix_.weight", 8).alias("weight"), F.round("mix_.prob", 8).alias("prob"), (mixing.draw(F.col("doc_id")) < F.col("mix_.prob")).alias("kept"),
     )
 
 
