@@ -11,7 +11,8 @@ Messages of all pages of a batch run together, level by level of the tree.
 
 Defined results: null or empty html gives an empty text; broken markup is
 read as browsers do in the main (open elements are closed by what cannot
-stand in them, at the end of their parent or of the page); pages without
+stand in them, at the end of their parent or of the page), in time linear in
+its length; pages without
 elements are one block of text; repeated rows give repeated results; an
 empty table gives an empty result; further columns are ignored.
 """
@@ -32,16 +33,19 @@ from pyspark.sql import functions as F
 from .common import as_text, in_small_batches
 from .html_training import labelled_pages
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?/][^>]*>|([^<]+|<)""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
 
 #: Elements whose content is never text of the page.
-HIDDEN = frozenset("script style noscript template svg iframe object canvas select textarea button title math audio video map datalist option dialog".split())
+HIDDEN = frozenset("script style noscript template svg iframe select textarea button title datalist option".split())
 #: Of these, those whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i kbd label map mark math mfrac mi mn mo mroot mrow ms msqrt msub msubsup msup mtext object q rp rt ruby s samp small span strike strong sub sup time tt u var video".split()
+)
 #: What an opening element closes: elements that are open and may not hold it.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "tbody": "tr td th thead tbody", "option": "option"}
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
@@ -66,6 +70,8 @@ N_NUMBERS = 12
 #: Kinds of child for the edge potentials.
 KINDS = {t: k for k, names in enumerate(("p pre blockquote ul ol li dl dt dd table thead tbody tr td th figure figcaption", "h1 h2 h3 h4 h5 h6", "nav header footer aside form", "article main"), 1) for t in names.split()}
 N_KINDS = 5
+#: Nodes whose features are held at once.
+SLICE = 1 << 15
 
 
 @lru_cache(maxsize=1 << 14)
@@ -80,6 +86,10 @@ def label_of(attributes: dict[str, str]) -> int:
     return {"0": 0, "1": 1}.get(attributes.get("data-y", ""), -1)
 
 
+#: Tags with unpaired quotes after which quotes mean nothing; levels of a tree, deeper elements become siblings (as in browsers).
+QUOTE_FAULTS, MAX_DEPTH = 8, 512
+
+
 @dataclass
 class Tree:
     """Nodes in page order; node 0 is the page. Text: pieces of (node, words of one block)."""
@@ -92,13 +102,110 @@ class Tree:
     linked: list[int]
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """kind (text, open or close), name or text, attributes, and where the token ends.
+
+    A tag ends at the first ``>`` outside quotes. Where quotes hide every
+    ``>`` it ends at the first one; after QUOTE_FAULTS such tags quotes mean
+    nothing in the rest of the page. A tag, comment or declaration that never
+    ends is text, a comment without end hides the rest. So each letter is
+    read a bounded number of times. ``send`` moves on to a later place.
+    """
+    at, size, faults, ends = 0, len(page), 0, True
+
+    def shut(start: int) -> int:
+        nonlocal ends
+        found = page.find(">", start) if ends else -1
+        ends = found >= 0
+        return found + 1
+
+    while at < size:
+        start = page.find("<", at)
+        if start != at:
+            stop = size if start < 0 else start
+            moved = yield "text", page[at:stop], "", stop
+            at = moved or stop
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at)
+            at = size if end < 0 else end + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?") or page.startswith("</", at) and not page[at + 2 : at + 3].isalpha():
+            if end := shut(at):
+                at = end
+                continue
+        elif ends and (head := OPEN.match(page, at)):
+            found = TAG.match(page, at) if faults < QUOTE_FAULTS else None
+            if found or (end := shut(at)):
+                if found:
+                    end, rest = found.end(), found[3]
+                else:
+                    faults += 1
+                    rest = page[head.end() : end - 1]
+                moved = yield "close" if head[1] else "open", head[2].lower(), rest, end
+                at = moved or end
+                continue
+        moved = yield "text", "<", "", at + 1
+        at = moved or at + 1
+
+
+class Stack:
+    """Open elements and their nodes, with what is needed to find one without a search."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.links = self.hidden = 0
+
+    def push(self, tag: str, node: int) -> None:
+        at = len(self.items)
+        self.items.append((tag, node))
+        self.where.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+        self.links += tag == "a"
+        self.hidden += tag in HIDDEN
+
+    def cut(self, at: int) -> None:
+        """Closes all from place ``at`` on."""
+        while len(self.items) > at:
+            tag, _ = self.items.pop()
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.links -= tag == "a"
+            self.hidden -= tag in HIDDEN
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``; -1 if there is none."""
+        found = self.where.get(tag)
+        return found[-1] if found else -1
+
+    def closed_by(self, tag: str) -> int:
+        """The place of the outermost element that an opening ``tag`` closes; 0 if there is none."""
+        if shuts := CLOSES.get(tag):
+            at = max(map(self.last, shuts))
+            if at < 1 or at < self.scopes[-1]:
+                return 0
+            while at > 1 and self.items[at - 1][0] in shuts:
+                at -= 1
+            return at
+        at = self.blocks[-1]  # a block closes an open paragraph or heading
+        return at if self.items[at][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else 0
+
+
 def parse(page: str) -> Tree:
-    tags, parents, names, labels, pieces, linked = ["html"], [-1], [""], [-1], [], [0]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and their nodes; inline ones have that of their block
+    tags, parents, names, labels, pieces, linked, depths = ["html"], [-1], [""], [-1], [], [0], [0]
+    stack = Stack()
+    stack.push("html", 0)
     text: list[str] = []
-    here = hidden = links = 0
-    start, size = 0, len(page)
-    lower = None
+    here, lower = 0, None
 
     def flush() -> None:
         if text:
@@ -107,111 +214,78 @@ def parse(page: str) -> Tree:
                 pieces.append((here, words))
             text.clear()
 
-    match = TOKEN.match
-    while start < size and (m := match(page, start)):
-        start = m.end()
-        closing, tag, rest, data = m.groups()
-        if data is not None:
-            if not hidden:
-                text.append(data)
-                if links:
-                    linked[here] += len(data)
-            continue
-        if tag is None:
+    stream, moved = tokens(page), None
+    while True:
+        try:
+            kind, tag, rest, end = stream.send(moved)
+        except StopIteration:
+            break
+        moved = None
+        if kind == "text":
+            if not stack.hidden:
+                text.append(tag)
+                if stack.links:
+                    linked[here] += len(tag)
             continue
-        tag = tag.lower()
-        if closing:
-            if any(t == tag for t, _ in stack[1:]):
-                if tag in INLINE and not any(t == tag for t, _ in stack[-8:]):
-                    continue
-                if tag not in INLINE or tag not in HIDDEN:
-                    at = len(stack) - 1
-                    while stack[at][0] != tag:
-                        if tag in INLINE and stack[at][0] not in INLINE:
-                            at = -1
-                            break
-                        at -= 1
-                    if at > 0:
-                        if tag not in INLINE:
-                            flush()
-                        for t, _ in stack[at:]:
-                            links -= t == "a"
-                            hidden -= t in HIDDEN
-                        del stack[at:]
-                        here = stack[-1][1]
+        if kind == "close":
+            at = stack.last(tag)
+            if tag in INLINE and at < max(stack.blocks[-1], len(stack.items) - 8):
+                continue  # an inline element ends in its own block alone
+            if at > 0:
+                if tag not in INLINE:
+                    flush()
+                stack.cut(at)
+                here = stack.items[-1][1]
             continue
         if tag in VOID:
-            if tag in ("br", "hr", "wbr") and not hidden:
+            if tag in ("br", "hr", "wbr") and not stack.hidden:
                 text.append("" if tag == "wbr" else " ")
             continue
         if tag in RAW:
             lower = lower or page.lower()
-            end = lower.find("</" + tag, start) if len(lower) == size else -1
-            if end < 0 and len(lower) != size:
-                found = re.compile("</" + tag, re.I).search(page, start)
-                end = found.start() if found else -1
-            start = size if end < 0 else end
-            if end >= 0:
-                shut = page.find(">", end)
-                start = size if shut < 0 else shut + 1
+            if len(lower) == len(page):
+                stop = lower.find("</" + tag, end)
+            else:
+                found = re.compile("</" + tag, re.I).search(page, end)
+                stop = found.start() if found else -1
+            shut = page.find(">", stop) if stop >= 0 else -1
+            moved = len(page) if shut < 0 else shut + 1
             continue
         if rest.endswith("/") and tag not in INLINE and tag not in TAG_AT:
             continue
-        if tag in HIDDEN:
-            hidden += 1
-            stack.append((tag, here))
-            continue
-        if tag in INLINE:
-            links += tag == "a"
-            stack.append((tag, here))
+        if tag in HIDDEN or tag in INLINE:
+            stack.push(tag, here)
             continue
         flush()
         if tag in ("html", "body", "head"):
-            found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
-            y = label_of(found)
+            y = label_of({k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)})
             if tag == "html" and y >= 0:
                 labels[0] = y
             if tag != "body":
                 continue
-            while len(stack) > 1 and stack[-1][0] != "body":
-                links -= stack[-1][0] == "a"
-                hidden -= stack[-1][0] in HIDDEN
-                stack.pop()
-            if len(stack) > 1:
+            if stack.last("body") > 0:
+                stack.cut(stack.last("body") + 1)
                 continue
-        else:
-            y = -1
-            if shuts := CLOSES.get(tag):
-                at = len(stack) - 1
-                while at > 0 and stack[at][0] not in shuts and stack[at][0] not in SCOPE:
-                    at -= 1
-                while at > 0 and stack[at][0] in shuts and (at == 1 or stack[at - 1][0] in shuts):
-                    at -= 1
-                shut = at if at > 0 and stack[at][0] in shuts else 0
-            else:
-                # a block closes an open paragraph or heading
-                at = len(stack) - 1
-                while at > 0 and stack[at][0] in INLINE:
-                    at -= 1
-                shut = at if at > 0 and stack[at][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else 0
-            if shut:
-                for t, _ in stack[shut:]:
-                    links -= t == "a"
-                    hidden -= t in HIDDEN
-                del stack[shut:]
-        name = ""
+            stack.cut(1)
+        elif shut := stack.closed_by(tag):
+            stack.cut(shut)
+        y, name = -1, ""
         if rest and not rest.isspace():
             found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
             if found:
                 name = " ".join(v for k, v in found.items() if k != "data-y")
                 y = label_of(found)
-        parents.append(stack[-1][1])
+        parent = stack.items[-1][1]
+        if depths[parent] >= MAX_DEPTH:
+            parent = parents[parent]
+        parents.append(parent)
+        depths.append(depths[parent] + 1)
         here = len(tags)
         tags.append(tag)
         names.append(name)
         labels.append(y)
         linked.append(0)
-        stack.append((tag, here))
+        stack.push(tag, here)
     flush()
     return Tree(tags, parents, names, labels, pieces, linked)
 
@@ -223,9 +297,21 @@ class Forest:
     parent: np.ndarray
     depth: np.ndarray
     kind: np.ndarray
-    features: np.ndarray
+    tag: np.ndarray
+    groups: np.ndarray
+    inherited: np.ndarray
+    numbers: np.ndarray
     first: np.ndarray
 
+    def features(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """A row of each node from ``start`` to ``stop``."""
+        rows = np.arange(start, len(self.tag) if stop is None else min(stop, len(self.tag)))
+        root = self.parent[rows] < 0
+        own, up = np.zeros((len(rows), len(TAGS) + 1)), np.zeros((len(rows), len(TAGS) + 1))
+        own[np.arange(len(rows)), self.tag[rows]] = 1.0
+        up[np.arange(len(rows)), self.tag[np.where(root, 0, self.parent[rows])]] = ~root
+        return np.concatenate((np.ones((len(rows), 1)), own, up, self.groups[rows], self.inherited[rows], self.numbers[rows]), axis=1)
+
 
 def forest(trees: list[Tree]) -> Forest:
     sizes = np.array([len(t.tags) for t in trees], np.int64)
@@ -257,20 +343,17 @@ def forest(trees: list[Tree]) -> Forest:
         inner = level[parent[level] >= 0]
         np.add.at(sub, parent[inner], sub[inner])
     page = np.repeat(sub[first[:-1]], sizes, axis=0) if n else sub
-    groups = np.zeros((n, len(GROUPS)))
+    groups = np.zeros((n, len(GROUPS)), bool)
     k = 0
     for t in trees:
         for name in t.names:
             if name:
-                groups[k, list(groups_of(name))] = 1.0
+                groups[k, list(groups_of(name))] = True
             k += 1
-    up = np.where(root, 0, parent)
     inherited = groups.copy()
     for level in np.split(order[::-1], np.flatnonzero(np.diff(depth[order[::-1]])) + 1):
         inner = level[parent[level] >= 0]
-        inherited[inner] = np.maximum(inherited[inner], inherited[parent[inner]])
-    one_hot = np.zeros((n, len(TAGS) + 1))
-    one_hot[np.arange(n), tag] = 1.0
+        inherited[inner] |= inherited[parent[inner]]
     place = (np.arange(n) - base) / np.maximum(np.repeat(sizes, sizes), 1)
     numbers = np.stack(
         [
@@ -280,8 +363,7 @@ def forest(trees: list[Tree]) -> Forest:
         ],
         axis=1,
     )
-    features = np.concatenate((np.ones((n, 1)), one_hot, one_hot[up] * ~root[:, None], groups, inherited, numbers), axis=1)
-    return Forest(parent, depth, kind, features, first)
+    return Forest(parent, depth, kind, tag, groups, inherited, numbers, first)
 
 
 @dataclass
@@ -311,7 +393,7 @@ def train(pages: list[str] | None = None) -> Model:
             own.append(given if given >= 0 else own[p] if p >= 0 else 0)
         y += own
     f, y = forest(trees), np.array(y)
-    weights = _fit_nodes(f.features, y.astype(float))
+    weights = _fit_nodes(f.features(), y.astype(float))
     child = np.flatnonzero(f.parent >= 0)
     seen = np.full((N_KINDS, 2, 2), 1.0)
     np.add.at(seen, (f.kind[child], y[f.parent[child]], y[child]), 1.0)
@@ -326,7 +408,8 @@ def _soft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def marginals(model: Model, f: Forest) -> np.ndarray:
     """The probability of label 1 of each node, by messages up and down the trees."""
-    score = np.clip(f.features @ model.weights, -30, 30)
+    parts = [f.features(a, a + SLICE) @ model.weights for a in range(0, len(f.tag), SLICE)]
+    score = np.clip(np.concatenate(parts) if parts else np.zeros(0), -30, 30)
     node = np.stack((np.zeros_like(score), score), axis=1)
     n = len(score)
     below, message = node.copy(), np.zeros((n, 2))
@@ -352,7 +435,20 @@ def extract(model: Model, pages: list[str]) -> list[str]:
     return [" ".join(words for i, words in t.pieces if content[a + i]) for t, a in zip(trees, f.first.tolist())]
 
 
-BATCH = 256
+#: Pages, and letters of pages, whose messages run together.
+BATCH, LETTERS = 256, 2_000_000
+
+
+def groups_of_pages(pages: list[str]) -> Iterator[list[str]]:
+    some, size = [], 0
+    for page in pages:
+        if some and (len(some) >= BATCH or size + len(page) > LETTERS):
+            yield some
+            some, size = [], 0
+        some.append(page)
+        size += len(page)
+    if some:
+        yield some
 
 
 def main_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -362,7 +458,7 @@ def main_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             source = [x if isinstance(x, str) else "" for x in batch["html"]]
-            texts = [t for k in range(0, len(source), BATCH) for t in extract(shared.value, source[k : k + BATCH])]
+            texts = [t for some in groups_of_pages(source) for t in extract(shared.value, some)]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return in_small_batches(pages).select(as_text("page_id"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

@@ -46,7 +46,7 @@ def test_messages_give_exact_marginals():
     model = H.train()
     page = "<body><nav><a href=x>a b</a></nav><div class=post><p>one two three, four. <p>five</div></body>"
     f = H.forest([H.parse(page)])
-    score = np.clip(f.features @ model.weights, -30, 30)
+    score = np.clip(f.features() @ model.weights, -30, 30)
     total, mass = 0.0, np.zeros(len(score))
     for y in itertools.product((0, 1), repeat=len(score)):
         w = np.exp(sum(s for s, k in zip(score, y) if k) + sum(model.edges[f.kind[i], y[f.parent[i]], y[i]] for i in range(1, len(y))))
@@ -68,8 +68,35 @@ def test_markup():
     assert H.extract(model, ["", "plain &lt;text", "<div>" * 3000 + "deep", "<p>" * 500, "</p></div>", "<a href='x"])[:2] == ["", "plain <text"]
 
 
+HOSTILE = {
+    "unclosed tags": "<a " * 330_000, "unclosed quotes": '<a x="' * 160_000, "declarations": "<!" * 500_000, "ends": "</" * 500_000, "scripts": "<script" * 140_000, "comments": "<!--" * 250_000, "mixed quotes": "<a \"'>" * 160_000,
+    "nested blocks": "<div>" * 100_000 + "deep", "nested inline": "<b>" * 100_000 + "deep", "paragraphs": "<p>" * 330_000, "items far from their list": "<li><ul>" + "<foo>" * 50_000 + "<li></li>" * 50_000,
+    "paragraphs in bold": "<p>" + "<b>" * 50_000 + "<p></p>" * 50_000, "ends of nothing": "<i>" * 20_000 + "</b>" * 100_000, "items alone": "<li>x" * 100_000,
+}
+
+
+def test_long_broken_markup():
+    """Time linear in the page's length: a megabyte of each in seconds."""
+    import time
+
+    model = H.train()
+    for name, page in HOSTILE.items():
+        began = time.process_time()
+        (text,) = H.extract(model, [page])
+        assert time.process_time() - began < 12, name
+        assert name.startswith("unclosed") <= (len(text) > 900_000), name
+
+
+def test_text_of_embedded_elements_stays():
+    model = H.train()
+    words = "Some words that tell a story, one after the other. " * 6
+    page = f"<html><body><article><p>{words}where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p><video src=v>no video here</video> {words}<button>Press</button></p></article>"
+    (text,) = H.extract(model, [page])
+    assert "where x=2 holds" in text and "no video here" in text and "Press" not in text
+
+
 def test_edges(spark):
-    rows = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>x" * 20000, 3), (3, "u", "<p>x" * 20000, 3), (None, "u", "words", 4)], "page_id long, url string, html string, n_chars int")
+    rows = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>x" * 20000, 3), (3, "u", "<p>x" * 20000, 3), (None, "u", "words", 4)], "page_id long, url string, html string, n_chars int").selectExpr("*", "5 as text", "6 as content")
     got = H.main_texts(rows).collect()
     assert len(got) == 5 and {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert H.main_texts(rows.limit(0)).count() == 0
