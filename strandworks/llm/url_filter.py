@@ -4,8 +4,11 @@ A rule is a regular expression on the host and one on the path, with literal
 tokens that every matching URL holds. ``rule_index`` counts these tokens over
 the URLs and files each rule under its rarest one. A URL's own tokens fetch
 its candidate rules, and only the candidates run their expressions. Only
-DataFrame functions are used; the index joins by token, so Spark broadcasts it
-only while it is below ``spark.sql.autoBroadcastJoinThreshold``.
+DataFrame functions are used. The rules come as a list of the driver, so up to
+LITERALS of them stand in the plan as one literal map from token to rules, and
+a URL is judged where it is read, without a shuffle. A longer list becomes a
+table: the tokens that it holds join by token (broadcast only below
+``spark.sql.autoBroadcastJoinThreshold``), and only hits are joined to the URLs.
 
 Defined results: a null url or one without ``://`` has empty host and path and
 gets the default verdict; repeated rows give repeated results; the longest
@@ -99,7 +102,12 @@ def _quote(text: str) -> str:
     return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
 
 
-def rules_frame(spark: SparkSession, scopes=SCOPES, patterns=PATTERNS) -> DataFrame:
+#: Rules up to which the index is a literal of the plan.
+LITERALS = 500
+
+
+def rule_rows(scopes=SCOPES, patterns=PATTERNS) -> list[tuple]:
+    """The rules in the columns of RULE_SCHEMA."""
     rows = []
     for r in scopes:
         # the last piece of the path may be a mere prefix of the url's piece
@@ -108,7 +116,11 @@ def rules_frame(spark: SparkSession, scopes=SCOPES, patterns=PATTERNS) -> DataFr
         rows.append((r.host + r.path, r.verdict, host_re, r"\A" + _quote(r.path), _runs(r.host) + _runs(whole) or [""], True))
     for p in patterns:
         rows.append((f"{p.host_re} {p.path_re}", p.verdict, p.host_re, p.path_re, list(p.tokens) or [""], False))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return rows
+
+
+def rules_frame(spark: SparkSession, scopes=SCOPES, patterns=PATTERNS) -> DataFrame:
+    return spark.createDataFrame(rule_rows(scopes, patterns), RULE_SCHEMA)
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -120,17 +132,52 @@ def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return ranked.groupBy("rule", "verdict", "host_re", "path_re", "named").agg(F.min(F.struct("n_urls", "token")).alias("least")).select(F.col("least.token").alias("token"), "rule", "verdict", "host_re", "path_re", "named")
 
 
-def judge(pages: DataFrame, scopes=SCOPES, patterns=PATTERNS, default: str = "allow") -> DataFrame:
+def literal_index(urls: DataFrame, rows: list[tuple]) -> dict[str, list[tuple]]:
+    """``rule_index`` of a short list: token -> rules. What comes to the driver is one count for each token of the rules."""
+    tokens = sorted({t for r in rows for t in r[4]})
+    held = urls.select(F.explode(F.array_intersect("url_tokens", F.array(*map(F.lit, tokens)))).alias("token"))
+    counts = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    index: dict[str, list[tuple]] = {}
+    for r in rows:
+        index.setdefault(min(set(r[4]), key=lambda t: (counts.get(t, 0), t)), []).append(r)
+    return index
+
+
+def _hit(named: Column, rule: Column, verdict: Column) -> Column:
+    """The least of these wins: scopes first, then the longest, then the smaller string."""
+    return F.struct((~named).alias("unnamed"), (-F.length(rule)).alias("n"), rule.alias("rule"), verdict.alias("verdict"))
+
+
+def hits_by_literals(urls: DataFrame, rows: list[tuple]) -> DataFrame:
+    """``urls`` with ``hit``: the rule that wins, or null."""
+    index = literal_index(urls, rows) if rows else {}
+    if not index:
+        return urls.withColumn("hit", F.lit(None).cast("struct<unnamed:boolean,n:int,rule:string,verdict:string>"))
+    rule = lambda r: F.struct(*(F.lit(v).alias(n) for n, v in zip(("rule", "verdict", "host_re", "path_re", "named"), (*r[:4], r[5]))))
+    pairs = F.create_map(*(x for t, own in index.items() for x in (F.lit(t), F.array(*map(rule, own)))))
+    fetched = F.array_intersect("url_tokens", F.array(*map(F.lit, index)))
+    tried = F.flatten(F.transform(fetched, lambda t: F.element_at(pairs, t)))
+    fits = F.filter(tried, lambda r: F.rlike(F.col("host"), r.host_re) & F.rlike(F.col("path"), r.path_re))
+    return urls.withColumn("hit", F.array_min(F.transform(fits, lambda r: _hit(r.named, r.rule, r.verdict))))
+
+
+def hits_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same for a table of rules: only tokens that the index holds leave their URL."""
+    index = rule_index(urls, rules)
+    found = urls.select("host", "path", F.explode("url_tokens").alias("token")).join(index, "token")
+    found = found.filter(F.rlike("host", F.col("host_re")) & F.rlike("path", F.col("path_re")))
+    best = found.groupBy("host", "path").agg(F.min(_hit(F.col("named"), F.col("rule"), F.col("verdict"))).alias("hit"))
+    return urls.join(best, ["host", "path"], "left")
+
+
+def judge(pages: DataFrame, scopes=SCOPES, patterns=PATTERNS, default: str = "allow", literals: int = LITERALS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages``."""
     urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    urls = urls.withColumn("url_tokens", url_tokens(F.concat_ws("/", "host", "path"))).withColumn("row", F.monotonically_increasing_id())
-    index = rule_index(urls, rules_frame(pages.sparkSession, scopes, patterns))
-    tried = urls.withColumn("token", F.explode("url_tokens")).drop("url_tokens").join(index, "token", "left")
-    fits = F.rlike("host", F.col("host_re")) & F.rlike("path", F.col("path_re"))
-    found = tried.withColumn("hit", F.when(fits, F.struct(F.col("named"), F.length("rule").alias("n"), "rule", "verdict")))
-    best = found.groupBy("row", "page_id", "host", "path").agg(F.max("hit").alias("hit"))
-    return best.select(
+    urls = urls.withColumn("url_tokens", url_tokens(F.concat_ws("/", "host", "path")))
+    rows = rule_rows(scopes, patterns)
+    judged = hits_by_literals(urls, rows) if len(rows) <= literals else hits_by_join(urls, rules_frame(pages.sparkSession, scopes, patterns))
+    return judged.select(
         "page_id", "host", "path",
-        F.when(F.col("hit.named"), F.col("hit.rule")).alias("rule"),
+        F.when(~F.col("hit.unnamed"), F.col("hit.rule")).alias("rule"),
         F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"),
     )

@@ -43,3 +43,24 @@ def test_index_uses_the_rarest_token(spark):
     urls = spark.createDataFrame([(["", "a", "b"],)] * 5 + [(["", "a"],)] * 5, "url_tokens array<string>")
     rules = U.rules_frame(spark, [U.ScopeRule("block", "a.b", "/")], [U.PatternRule("allow", "x", "", ())])
     assert {r.rule: r.token for r in U.rule_index(urls, rules).collect()} == {"a.b/": "b", "x ": ""}
+
+
+def test_ties_go_to_the_smaller_string(spark):
+    """Two scopes of equal length, and both ways of fetching."""
+    rows = spark.createDataFrame([(1, "http://a.com/bcd"), (2, "http://x.com/bcd"), (3, None)], "page_id long, url string")
+    scopes = (U.ScopeRule("allow", "com", "/bcd"), U.ScopeRule("block", "a.com", "/b"))
+    for literals in (0, 9):
+        got = {r.page_id: (r.rule, r.verdict) for r in U.judge(rows, scopes, (), "none", literals).collect()}
+        assert got == {1: ("a.com/b", "block"), 2: ("com/bcd", "allow"), 3: (None, "none")}
+
+
+def test_table_of_rules_gives_the_same(spark):
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 3)], "page_id long, url string")
+    short, long = (sorted(map(str, U.judge(rows, literals=n).collect())) for n in (500, 0))
+    assert short == long and len(short) == 3 * len(URLS)
+    assert U.judge(rows, (), (), "allow").filter("verdict = 'allow' and rule is null").count() == len(short)
+
+
+def test_plan_has_no_exchange_for_a_short_list(spark):
+    plan = U.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
