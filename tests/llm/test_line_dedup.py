@@ -32,7 +32,7 @@ def test_against_sql(spark):
 
 def test_against_all_pairs(spark):
     rng = random.Random(4)
-    pool = ["a b c", "d e", "f g h i", "", "j", "k l m n o", "p q"]
+    pool = ["a b c", "d e", "f g h i", "", "", "  ", "j", "k l m n o", "p q"]
     for min_words in (1, 6, 12):
         docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(25)] + [(30, "\n".join(["z z"] * 9)), (31, "only here\nand here")]
         rows = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words).collect()
@@ -40,6 +40,22 @@ def test_against_all_pairs(spark):
         assert {r.doc_id: (r.text, r.line_dedup_.n_removed) for r in rows} == want
 
 
+def test_blank_lines_and_repeated_rows(spark):
+    """Long runs of blank lines, a document of many lines that all repeat, and rows repeated a thousand times."""
+    import time
+
+    words = " ".join(f"w{i}" for i in range(60))
+    long = "\n".join(f"line {i} of many" for i in range(60_000))
+    docs = [(1, words + "\n" * 100_000 + "end"), (2, "x\n" + words + "\n" * 50_000 + "other"), (3, long), (4, "first\n" + long + "\nlast"), *[(5, words + "\nagain")] * 1000]
+    began = time.time()
+    rows = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert time.time() - began < 100
+    assert len(rows) == 1004
+    got = {r.doc_id: (r.text, r.line_dedup_.n_lines, r.line_dedup_.n_removed) for r in rows}
+    assert got[1] == (docs[0][1], 100_001, 0) and got[3] == (long, 60_000, 0)
+    assert got[2] == ("x\nother", 50_002, 50_000) and got[4] == ("first\nlast", 60_002, 60_000) and got[5] == ("again", 2, 1)
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     out = L.dedup_lines(docs, 2)
