@@ -2,7 +2,7 @@
 
 1. Sketch: each document's set of distinct five-word shingles gets, under each
    of EVALUATIONS hash functions, both its minimum and its maximum.
-2. Equal sets are one class, held by the smallest doc_id.
+2. Equal sets are one class, a numbered node, held by the smallest doc_id.
 3. Banding: ROWS values a band. Buckets with several classes are kept.
 4. Stars: in each bucket every class is paired with the bucket's hub, the
    class that meets most others. Sketches that agree in less than ESTIMATE
@@ -14,6 +14,9 @@
    a bucket never has all its pairs made, and none is cut short.
 6. Components of the confirmed links; doc_id = component_id stays.
 
+Sets are confirmed by hub: the pairs of a hub are dealt to parts of at most
+PART, and the hub's set is sent once to each part, not with each pair.
+
 Defined results: words are split at ASCII white space after A-Z are
 lower-cased; a text with fewer than five words has one shingle, a null, empty
 or blank text has none and links with nothing; rows that share a doc_id are
@@ -44,6 +47,8 @@ BANDS = 2 * EVALUATIONS // ROWS
 #: Share of equal sketch values below which a pair is dropped: over four standard deviations under PERCENT.
 ESTIMATE = 0.6
 STARS = 2
+#: Pairs of a hub confirmed with one copy of its set.
+PART = 256
 #: Cells of the table of shingle counts that orders shingles by rarity: a fixed size, so it may be broadcast.
 CELLS = 1 << 18
 #: Bytes of text sketched at once, and shingles hashed at once.
@@ -130,26 +135,27 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), sketch(x)) if len(x) else (0, None, None) for x in shingle_sets(_texts(batch))]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "twin": batch["twin"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
-    return in_small_batches(docs).select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, set_key binary, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = in_small_batches(docs).select(as_text("doc_id"), F.xxhash64("text").alias("twin"), "text")
+    return rows.mapInPandas(run, "doc_id string, twin long, n_shingles long, set_key binary, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, hashes of the documents in ``wanted``, once each."""
+    """node, doc_id, hashes of the nodes in ``wanted`` (node, doc_id, twin), once each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "hashes": [x.tobytes() for x in shingle_sets(_texts(batch))]})
+            yield pd.DataFrame({"node": batch["node"], "doc_id": batch["doc_id"], "hashes": [x.tobytes() for x in shingle_sets(_texts(batch))]})
 
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
-    return some.mapInPandas(run, "doc_id long, hashes binary")
+    some = docs.select("doc_id", F.xxhash64("text").alias("twin"), "text").join(wanted, ["doc_id", "twin"])
+    return some.dropDuplicates(["doc_id", "twin"]).select("node", "doc_id", "text").mapInPandas(run, "node long, doc_id long, hashes binary")
 
 
 def paired(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     """``pairs`` (a, b) with ``column`` of both sides."""
-    one = facts.select(F.col("doc_id").alias("a"), F.col(column).alias("of_a"))
-    two = facts.select(F.col("doc_id").alias("b"), F.col(column).alias("of_b"))
+    one = facts.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
+    two = facts.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
     return pairs.join(one, "a").join(two, "b")
 
 
@@ -166,49 +172,61 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with 100 * intersection >= PERCENT * union on the full sets."""
+    """a, b: the documents of the pairs with 100 * intersection >= PERCENT * union on the full sets."""
 
-    def similar(x: bytes, y: bytes) -> bool:
-        both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-        total = len(both)
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate((x, y))
         both.sort(kind="stable")
         shared = int((both[1:] == both[:-1]).sum())
-        return 100 * shared >= PERCENT * (total - shared)
+        return 100 * shared >= PERCENT * (len(both) - shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, hub_id, own = None, None, np.zeros(0, np.uint64)  # the hub whose members follow, also in the next batch
         for batch in batches:
-            yield batch.loc[[similar(x, y) for x, y in zip(batch["of_a"], batch["of_b"])], ["a", "b"]]
-
-    return paired(pairs, sets, "hashes").mapInPandas(run, "a long, b long")
+            out = []
+            for a, member, doc_id, hashes in zip(batch["a"].tolist(), batch["member"].tolist(), batch["doc_id"].tolist(), batch["hashes"]):
+                if not member:
+                    hub, hub_id, own = a, doc_id, np.frombuffer(hashes, np.uint64)
+                elif a == hub and similar(own, np.frombuffer(hashes, np.uint64)):
+                    out.append((hub_id, doc_id))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    facts = lambda name: sets.select(F.col("node").alias(name), "doc_id", "hashes")
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member")).join(facts("a"), "a")
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = dealt.join(facts("b"), "b").select("a", "part", F.lit(True).alias("member"), "doc_id", "hashes")
+    rows = hubs.select(*members.columns).union(members).repartition("a", "part").sortWithinPartitions("a", "part", "member")
+    return rows.mapInPandas(run, "a long, b long")
 
 
 def in_buckets(classes: DataFrame) -> DataFrame:
-    """bucket, doc_id of the buckets that hold several classes, with the number of meetings of each class."""
+    """bucket, node, doc_id, n of the buckets that hold several classes, with the number of members."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sketch"), k * width + 1, F.lit(width))))
-    rows = classes.select("doc_id", F.col("n_shingles").alias("n"), F.explode(keys).alias("bucket"))
+    rows = classes.select("node", "doc_id", F.col("n_shingles").alias("n"), F.explode(keys).alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     return rows.join(full, "bucket")
 
 
 def stars(rows: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of every class and its bucket's hub in another component; and the hubs.
+    """Pairs (a, b) of a bucket's hub and every class of it in another component; and the hubs.
 
     A hub is the class with most meetings; with ``past`` hubs, one whose
     component has given none yet where there is such a class.
     """
     fresh = F.lit(True) if past is None else ~F.col("given")
-    best = F.max(F.struct(fresh, "meetings", (-F.col("doc_id")).alias("last"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n")))
-    hubs = rows.groupBy("bucket").agg(best.alias("hub")).select("bucket", (-F.col("hub.last")).alias("hub"), "hub.hub_component", "hub.hub_n")
+    best = F.max(F.struct(fresh, "meetings", (-F.col("node")).alias("last"), F.col("doc_id").alias("hub_id"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n")))
+    hubs = rows.groupBy("bucket").agg(best.alias("hub")).select("bucket", (-F.col("hub.last")).alias("hub"), "hub.hub_id", "hub.hub_component", "hub.hub_n")
     met = rows.join(hubs, "bucket").filter("component <> hub_component")
     met = met.filter(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
-    return met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), hubs
+    return met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), hubs
 
 
 def by_rare_shingles(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a rare enough shingle.
 
-    ``sets``: doc_id, component, hashes. Shingles are ordered by how many sets
+    ``sets``: node, component, hashes. Shingles are ordered by how many sets
     hold them, as told by a table of CELLS counts, and then by hash. Sets of
     the wanted similarity share one of the first (100 - PERCENT) % of each in
     any common order; size and place bound the intersection further.
@@ -230,29 +248,29 @@ def by_rare_shingles(sets: DataFrame) -> DataFrame:
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for d, c, x in zip(batch["doc_id"], batch["component"], batch["hashes"]):
+            for d, c, x in zip(batch["node"], batch["component"], batch["hashes"]):
                 x = np.frombuffer(x, np.uint64)
                 n = len(x)
                 order = np.lexsort((x, shared.value[(x & np.uint64(CELLS - 1)).astype(np.int64)]))[: n - -(-PERCENT * n // 100) + 1]
-                parts.append(pd.DataFrame({"shingle": x[order].view(np.int64), "doc_id": d, "component": c, "n": n, "place": np.arange(len(order))}))
+                parts.append(pd.DataFrame({"shingle": x[order].view(np.int64), "node": d, "component": c, "n": n, "place": np.arange(len(order))}))
             if parts:
                 yield pd.concat(parts)
 
-    rows = saved(sets.mapInPandas(firsts, "shingle long, doc_id long, component long, n long, place long"), "near-rare")
+    rows = saved(sets.mapInPandas(firsts, "shingle long, node long, component long, n long, place long"), "near-rare")
     spread = rows.groupBy("shingle", "component").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("spread"))
     rows = rows.join(spread.filter("spread > 1").select("shingle", F.col("top.component").alias("major")), "shingle")
     # one side leaves out the shingle's largest component, so that this is never met with itself
-    a = rows.filter("component <> major").select("shingle", *(F.col(c).alias("a_" + c) for c in ("doc_id", "component", "n", "place")))
-    b = rows.select("shingle", "major", *(F.col(c).alias("b_" + c) for c in ("doc_id", "component", "n", "place")))
+    a = rows.filter("component <> major").select("shingle", *(F.col(c).alias("a_" + c) for c in ("node", "component", "n", "place")))
+    b = rows.select("shingle", "major", *(F.col(c).alias("b_" + c) for c in ("node", "component", "n", "place")))
     least = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     fits = (
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a_component") != F.col("b_component"))
-        & ((F.col("b_component") == F.col("major")) | (F.col("a_doc_id") < F.col("b_doc_id")))
+        & ((F.col("b_component") == F.col("major")) | (F.col("a_node") < F.col("b_node")))
         & ((100 + PERCENT) * least >= PERCENT * (F.col("a_n") + F.col("b_n")))
     )
     pairs = a.alias("a").join(b.alias("b"), fits)
-    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -271,12 +289,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     drawn = saved(sketches(docs), "near-sketches")
     with_set = drawn.filter("set_key is not null")
-    least = F.min(F.struct("doc_id", "n_shingles", "sketch"))
-    classes = saved(with_set.filter("doc_id is not null").groupBy("set_key").agg(least.alias("least")).select("set_key", "least.*"), "near-classes")
+    least = F.min(F.struct("doc_id", "twin", "n_shingles", "sketch"))
+    classes = with_set.filter("doc_id is not null").groupBy("set_key").agg(least.alias("least")).select("set_key", "least.*")
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     rows = saved(in_buckets(classes), "near-buckets")
-    meetings = rows.groupBy("doc_id").agg(F.sum(F.col("members") - 1).alias("meetings"))
-    rows = saved(rows.drop("members").join(meetings, "doc_id").withColumn("component", F.col("doc_id")), "near-members")
-    sets = saved(full_sets(docs, meetings), "near-sets")
+    meetings = rows.groupBy("node").agg(F.sum(F.col("members") - 1).alias("meetings"))
+    rows = saved(rows.drop("members").join(meetings, "node").withColumn("component", F.col("doc_id")), "near-members")
+    sets = saved(full_sets(docs, classes.join(meetings, "node", "left_semi").select("node", "doc_id", "twin")), "near-sets")
     links, parts, past = None, None, None
     for k in range(STARS):
         pairs, hubs = stars(rows, past)
@@ -285,12 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         parts = components(links)
         rows = unresolved(labelled(rows, parts))
         if k + 1 < STARS:
-            given = hubs.select("bucket", F.col("hub").alias("doc_id"))
+            given = hubs.select("bucket", F.col("hub_id").alias("doc_id"))
             past = labelled(given, parts).select("bucket", "component").distinct().withColumn("given", F.lit(True))
             rows = rows.drop("given").join(past, ["bucket", "component"], "left").withColumn("given", F.coalesce("given", F.lit(False)))
         rows = saved(rows, "near-members")
-    rest = rows.select("doc_id", "component").distinct()
-    found = confirmed(promising(by_rare_shingles(saved(sets.join(rest, "doc_id"), "near-rest")), classes), sets)
+    rest = rows.select("node", "component").distinct()
+    found = confirmed(promising(by_rare_shingles(saved(sets.join(rest, "node"), "near-rest")), classes), sets)
     parts = components(saved(links.union(found), "near-links"))
     named = classes.select("set_key", F.col("doc_id").alias("first")).join(parts.select(F.col("node").alias("first"), "component"), "first", "left")
     out = drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")

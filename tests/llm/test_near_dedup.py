@@ -102,3 +102,24 @@ def test_edges(spark):
     kept = N.first_of_each(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 1, 2, 3, None}
     assert N.near_duplicates(empty_docs(spark)).count() == 0
+
+
+def test_rows_repeated_a_thousand_times(spark):
+    """Two near copies a thousand times each, one id with many texts, and a hub with more members than one part holds."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    changed = lambda n: " ".join([*base[: 80 - n], *(f"z{rng.randrange(10**9)}" for _ in range(n))])
+    docs = [(1, " ".join(base))] * 1000 + [(2, changed(2))] * 1000 + [(3, changed(5)) for _ in range(40)]
+    docs += [(10 + i, changed(1)) for i in range(600)] + [(5000, "quite another text than all of the others here")]
+    rows = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs)
+    assert {r.component_id for r in rows if r.doc_id < 5000} == {1} and {(r.component_id, r.kept) for r in rows if r.doc_id == 5000} == {(5000, True)}
+
+
+def test_each_pair_is_confirmed_once(spark):
+    rng = np.random.default_rng(2)
+    own = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(700)]
+    sets = spark.createDataFrame([(i, 1000 + i, bytearray((own[0] if i % 3 else x).tobytes())) for i, x in enumerate(own)], "node long, doc_id long, hashes binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 700)] + [(4, 3), (4, 5)], "a long, b long")
+    got = sorted(tuple(r) for r in N.confirmed(pairs, sets).collect())
+    assert got == sorted([(1000, 1000 + i) for i in range(1, 700) if i % 3] + [(1004, 1005)])
