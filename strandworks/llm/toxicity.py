@@ -2,21 +2,25 @@
 
 Words have classes: insult, threat, target, negation, reported speech. Small
 transducers read the classes of a clause and mark its insults and threats:
-negated (a negation stands up to three words before), reported (words of
-speech stand before), aimed (a target stands within four words). They are
-composed into one table, which is run over the clauses that hold an insult or
-a threat; the others weigh nothing. The weights of the marked matches sum up
-to the document's score.
+negated (a negation stands up to three words before or two after), reported
+(a word of speech stands in the clause), aimed (a target stands within four
+words). They are composed into one machine for each direction, which run over
+the clauses that hold an insult or a threat; the others weigh nothing. Every
+arc has a weight: an insult's own weight times that of its marks, a threat's
+by its marks, a little for each other word. A clause's weight is the sum along
+its path, and gives the probability that the clause is toxic; a document is
+toxic if any of its clauses is (or for no clause's sake, with a small chance).
 
 Insults and all weights are learned from labelled rows: first the words and
 the beginnings of words that stand in significantly more places of toxic
 documents (a test against the number of all words, so chance finds stay out),
-then a logistic weight for each mark. At most ``SAMPLE`` labelled rows are
+then the weights of the arcs, for which the labels of whole documents are most
+likely. At most ``SAMPLE`` labelled rows are
 used, the first by a hash of doc_id; all sums over them run on Spark. Every
 text is scored whole.
 
-Defined results: null and empty texts have no match and get the score of the
-constant alone; a row without doc_id is not held out; repeated rows give
+Defined results: null and empty texts have no match and get the small
+chance alone; a row without doc_id is not held out; repeated rows give
 repeated results; of labelled rows that share a doc_id the least text is
 learned from; without labels of both kinds no insult is learned and the
 prior weights hold; an empty table gives an empty result.
@@ -73,7 +77,7 @@ def compose(a: Machine, b: Machine) -> Machine:
 
 
 FORWARD = compose(compose(countdown(NEGATION, 3, NEGATED), from_then_on(REPORT, REPORTED)), countdown(TARGET, 4, AIMED))
-BACKWARD = countdown(TARGET, 4, AIMED)
+BACKWARD = compose(compose(countdown(NEGATION, 2, NEGATED), from_then_on(REPORT, REPORTED)), countdown(TARGET, 4, AIMED))
 
 
 def marks(classes: list[int]) -> list[int]:
@@ -89,9 +93,23 @@ def marks(classes: list[int]) -> list[int]:
     return out
 
 
-#: Sums of match weights: insults plain, negated, reported, aimed; threats, aimed threats; then the largest weight, and length.
-FEATURES = ("constant", "plain", "negated", "reported", "aimed", "threat", "aimed_threat", "largest", "length", "rate")
-PRIOR = np.array([-3.0, 0.5, 0.1, 0.1, 0.7, 0.0, 1.5, 0.5, 0.0, 0.0])
+#: What arcs have weights for: insults by their marks, threats by theirs, other words (in tens); and the constant of a clause.
+ARCS = ("plain", "negated", "reported", "aimed", "threat", "aimed_threat", "excused_threat", "other", "clause")
+PRIOR = np.array([0.7, 0.2, 0.2, 0.9, 0.0, 1.5, -0.5, 0.0, -2.5])
+#: The log odds of a document's being toxic for no clause's sake.
+LEAK = -4.0
+
+
+def arc(c: int, m: int) -> str:
+    """Which weight an arc that reads class ``c`` and writes marks ``m`` has."""
+    if c == INSULT:
+        return "negated" if m & NEGATED else "reported" if m & REPORTED else "aimed" if m & AIMED else "plain"
+    if c == THREAT:
+        return "excused_threat" if m & (NEGATED | REPORTED) else "aimed_threat" if m & AIMED else "threat"
+    return "other"
+
+
+ARC_AT = {(c, m): ARCS.index(arc(c, m)) for c in range(6) for m in range(8)}
 
 
 @dataclass
@@ -99,6 +117,7 @@ class Grammar:
     insults: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    leak: float = LEAK
 
     def finder(self):
         """An automaton for the words that make a clause worth reading."""
@@ -112,38 +131,45 @@ class Grammar:
     def insult(self, word: str) -> float:
         return max([self.insults.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if k < len(word))]) if len(word) > 2 else 0.0
 
-    def features(self, text: str, finder) -> list[float]:
-        out = dict.fromkeys(FEATURES, 0.0)
-        out["constant"] = 1.0
-        out["length"] = float(np.log1p(len(text)) / 10)
-        low = text.lower()
-        done = -1
+    def clauses(self, text: str, finder) -> list[list[float]]:
+        """Of each clause with an insult or a threat: how often each arc is taken, insults by their own weight."""
+        out, low, done = [], text.lower(), 0
         for end, n in finder.iter(low) if len(finder) else ():
             start = end - n + 1
             if start < done or (start and low[start - 1].isalpha()):
                 continue
-            left = max(0, *(low.rfind(c, 0, start) + 1 for c in ".!?;:\n"))
+            left = max(done, *(low.rfind(c, done, start) + 1 for c in ".!?;:\n"))
             right = m.start() if (m := CLAUSE_ENDS.search(low, end + 1)) else len(low)
             done = right
             words = WORD.findall(low[left:right])
-            weights = [self.insult(w) for w in words]
-            classes = [INSULT if x > 0 else CLASSES.get(w, OTHER) for w, x in zip(words, weights)]
-            for c, x, m in zip(classes, weights, marks(classes)):
-                if c == INSULT:
-                    out["negated" if m & NEGATED else "reported" if m & REPORTED else "aimed" if m & AIMED else "plain"] += x
-                    out["largest"] = max(out["largest"], x)
-                elif c == THREAT and not m & (NEGATED | REPORTED):
-                    out["aimed_threat" if m & AIMED else "threat"] += 1.0
-        total = out["plain"] + out["negated"] + out["reported"] + out["aimed"]
-        out["rate"] = total / (1.0 + len(text) / 1000)
-        for k in ("plain", "negated", "reported", "aimed", "threat", "aimed_threat", "rate"):
-            out[k] = float(np.log1p(out[k]))
-        return list(out.values())
+            own = [self.insult(w) for w in words]
+            classes = [INSULT if x > 0 else CLASSES.get(w, OTHER) for w, x in zip(words, own)]
+            if INSULT not in classes and THREAT not in classes:
+                continue
+            path = [0.0] * len(ARCS)
+            path[-1] = 1.0
+            for c, x, m in zip(classes, own, marks(classes)):
+                path[ARC_AT[c, m]] += x if c == INSULT else 1.0 if c == THREAT else 0.1
+            out.append(path)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         finder = self.finder()
-        x = np.array([self.features(t, finder) for t in texts]).reshape(len(texts), len(FEATURES))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        found = [self.clauses(t, finder) for t in texts]
+        return chance(self.weights, self.leak, *stacked(found))
+
+
+def stacked(found: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """All clauses in a row, the document of each, and the number of documents."""
+    sizes = [len(x) for x in found]
+    rows = np.array([c for x in found for c in x], float).reshape(-1, len(ARCS))
+    return rows, np.repeat(np.arange(len(found)), sizes), len(found)
+
+
+def chance(weights: np.ndarray, leak: float, rows: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The probability that any clause of a document is toxic."""
+    none = np.bincount(doc, np.logaddexp(0, rows @ weights), n) + np.logaddexp(0, leak)  # minus the log of no clause's being so
+    return -np.expm1(-none)
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -209,24 +235,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = shared.value.finder()
         for batch in batches:
-            yield pd.DataFrame({"x": [shared.value.features(t, finder) for t in _texts(batch)], "y": batch["toxic"]})
+            yield pd.DataFrame({"x": [[v for c in shared.value.clauses(t, finder) for v in c] for t in _texts(batch)], "y": batch["toxic"]})
 
-    fitted = rows.mapInPandas(run, "x array<double>, y int").toPandas()  # at most ``sample`` short rows
+    fitted = rows.mapInPandas(run, "x array<double>, y int").toPandas()  # at most ``sample`` rows of a few clauses
     if len(fitted) and fitted["y"].nunique() == 2:
-        grammar.weights = fit(np.stack(fitted["x"].to_numpy()), fitted["y"].to_numpy(float))
+        found = [np.asarray(x, float).reshape(-1, len(ARCS)).tolist() for x in fitted["x"]]
+        grammar.weights, grammar.leak = fit(*stacked(found), fitted["y"].to_numpy(float))
     return grammar
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Logistic weights that stay near PRIOR where the rows tell nothing."""
-    w = PRIOR.copy()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * (w - PRIOR))
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def fit(rows: np.ndarray, doc: np.ndarray, n: int, y: np.ndarray, ridge: float = 1.0, steps: int = 600, rate: float = 0.03) -> tuple[np.ndarray, float]:
+    """Weights and leak under which the labels are most likely; they stay near the prior where the rows tell nothing."""
+    start = np.append(PRIOR, LEAK)
+    w, mean, square = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    for step in range(1, steps + 1):
+        z = rows @ w[:-1]
+        none = np.bincount(doc, np.logaddexp(0, z), n) + np.logaddexp(0, w[-1])
+        slope = np.where(y > 0, -np.exp(-none) / np.maximum(-np.expm1(-none), 1e-9), 1.0)  # of the loss, by ``none``
+        rise = slope[doc] / (1 + np.exp(-np.clip(z, -30, 30)))
+        g = np.append(rows.T @ rise, slope.sum() / (1 + np.exp(-w[-1]))) + ridge * (w - start)
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strandworks.llm import queries as Q
@@ -33,14 +35,52 @@ def test_composed_machine_is_both():
     assert run(both) == [x | y for x, y in zip(run(a), run(b))] == [0, 0, 0, 1, 0, 0, 2, 0, 3]
 
 
+def plain_marks(classes):
+    """The same by looking around each word."""
+    out = []
+    for i, c in enumerate(classes):
+        near = lambda kind, before, after: any(classes[j] == kind for j in range(max(0, i - before), min(len(classes), i + after + 1)) if j != i)
+        hit = c in (X.INSULT, X.THREAT)
+        out.append(hit * (near(X.NEGATION, 3, 2) * X.NEGATED | near(X.REPORT, 99, 99) * X.REPORTED | near(X.TARGET, 4, 4) * X.AIMED))
+    return out
+
+
+def test_marks_against_looking_around():
+    rng = random.Random(1)
+    for _ in range(3000):
+        classes = rng.choices(range(6), weights=(6, 2, 2, 1, 1, 1), k=rng.randint(0, 14))
+        assert X.marks(classes) == plain_marks(classes)
+
+
 def test_clauses():
     g = X.Grammar({"idiot": 5.0}, {"grobi": 4.0})
-    f = lambda t: dict(zip(X.FEATURES, g.features(t, g.finder())))
-    assert f("What an idiot. Fine day.")["plain"] > 0
-    assert f("You idiot!")["aimed"] > 0 and f("not an idiot")["negated"] > 0 and f("he said idiot")["reported"] > 0
-    assert f("I will kill you")["aimed_threat"] > 0 and f("said: I kill")["aimed_threat"] == 0
-    assert f("grobian Grobität")["plain"] > 0 and f("xgrobian idiots")["plain"] == 0
-    assert g.scores(["", "you idiot, you idiot"])[0] < 0.5
+    f = lambda t: {k: sum(c[i] for c in g.clauses(t, g.finder())) for i, k in enumerate(X.ARCS)}
+    assert f("What an idiot. Fine day.") == dict(zip(X.ARCS, (5.0, 0, 0, 0, 0, 0, 0, 0.2, 1.0)))
+    assert f("You idiot!")["aimed"] == 5 and f("not an idiot")["negated"] == 5 and f("he is an idiot, she said")["reported"] == 5 and f("an idiot he isn't never")["negated"] == 5
+    assert f("I will kill you")["aimed_threat"] == 1 and f("said: I kill")["threat"] == 1 and f("said I kill you")["excused_threat"] == 1
+    assert f("grobian Grobität")["plain"] == 8 and f("xgrobian idiots")["clause"] == 0 and f("idiot. idiot? x\nidiot")["clause"] == 3
+    none, one, two = g.scores(["", "you idiot", "you idiot, you idiot"])
+    assert none < one < two and none < 0.05
+
+
+def test_scores_are_of_any_clause():
+    """Against the product over single clauses."""
+    g = X.Grammar({"idiot": 2.0, "fool": 1.0})
+    texts = ["you fool", "an idiot here", "not a fool at all"]
+    alone = 1 - g.scores(texts)
+    quiet = 1 - g.scores([""])[0]
+    assert abs(g.scores([". ".join(texts)])[0] - (1 - quiet * (alone / quiet).prod())) < 1e-12
+
+
+def test_long_texts():
+    """Clauses without end, and megabytes without and with many of them."""
+    import time
+
+    g = X.Grammar({"idiot": 5.0})
+    for text in ("idiot " * 800_000, "x " * 2_500_000 + "idiot", "idiot. " * 700_000, "word idiot; " * 400_000):
+        began = time.process_time()
+        assert g.scores([text])[0] > 0.5
+        assert time.process_time() - began < 25
 
 
 def test_edges(spark):
