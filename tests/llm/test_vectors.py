@@ -20,16 +20,66 @@ def test_topk_against_sql(spark):
     check(spark, SF, Q.QUERIES["op2_topk"], Q.ORACLE_SQL["op2_topk"])
 
 
+def searched(docs, q, k, query_id=-1, least=None, ids=None):
+    shard = topk.Shard(np.arange(len(docs)) if ids is None else ids, docs)
+    return shard.best(query_id, q, k, least), shard.touched / max(shard.possible, 1)
+
+
+def wanted(docs, q, k, query_id=-1):
+    s = [sum(int(a) * int(b) for a, b in zip(q.tolist(), row)) for row in docs.tolist()]
+    return [(i, s[i]) for i in sorted((i for i in range(len(s)) if i != query_id), key=lambda i: (-s[i], i))][:k]
+
+
 def test_max_score_against_all_products():
     rng = np.random.default_rng(1)
     for n, d, k in ((5, 3, 10), (700, 16, 10), (3000, 32, 3)):
         docs, queries = rng.integers(-9, 10, (n, d)).astype(float), rng.integers(-9, 10, (20, d)).astype(float)
-        skip = np.array([(q, q % n) for q in range(20)])
-        for q, (at, scores) in enumerate(topk.max_score(queries, docs, k, skip)):
-            s = docs @ queries[q]
-            s[q % n] = -np.inf
-            want = [i for i in np.lexsort((np.arange(n), -s)) if np.isfinite(s[i])][:k]
-            assert at.tolist() == want and scores.tolist() == s[want].tolist()
+        for i, q in enumerate(queries):
+            want = wanted(docs, q, k, i % n)
+            assert searched(docs, q, k, i % n)[0] == want
+            assert searched(docs, q, k, i % n, float(want[-1][1]))[0] == want
+    assert searched(np.zeros((9, 3)), np.zeros(3), 2)[0] == [(0, 0), (1, 0)]
+
+
+def test_few_terms_are_enough_where_they_tell():
+    """Vectors with a few large components: most postings are never probed, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    docs = np.floor(1024 * rng.standard_normal((4000, 64)) * 0.8 ** np.arange(64))
+    for i in range(10):
+        got, share = searched(docs, docs[i], 10, i)
+        assert got == wanted(docs, docs[i], 10, i) and share < 0.35
+        again, less = searched(docs, docs[i], 10, i, float(got[-1][1]))
+        assert again == got and less < share
+
+
+def test_uniform_vectors_are_pruned_too():
+    rng = np.random.default_rng(6)
+    docs = rng.standard_normal((8000, 64))
+    docs = np.floor(1024 * docs / np.linalg.norm(docs, axis=1)[:, None])
+    got, _ = searched(docs, docs[0], 10, 0)
+    assert searched(docs, docs[0], 10, 0, float(got[-1][1]))[1] < 0.75
+
+
+def test_sums_beyond_doubles():
+    """Products that a double cannot tell apart, and sums beyond a long."""
+    big = 2.0**40
+    docs = np.array([[big, 1.0], [big, 3.0], [big, 2.0], [-big, 5.0]])
+    q = np.array([2.0**20, 1.0])
+    assert searched(docs, q, 3)[0] == [(1, 2**60 + 3), (2, 2**60 + 2), (0, 2**60 + 1)]
+    assert searched(docs, q, 1, least=2.0**60)[0] == [(1, 2**60 + 3)]
+    assert searched(docs, np.array([big, 1.0]), 4)[0] == [(0, 2**63 - 1), (1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]
+
+
+def test_topk_beyond_doubles(spark):
+    rows = spark.createDataFrame([(0, [2.0**10, 1.0]), (1, [2.0**30, 1.0]), (2, [2.0**30, 2.0]), (3, [2.0**30, 3.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(rows, F.col("vec_id") == 0, k=2).orderBy("rank").collect()]
+    assert got == [(3, 2**60 + 3 * 2**20), (2, 2**60 + 2 * 2**20)]
+
+
+def test_one_id_with_many_rows(spark):
+    rows = [(7, [1.0, float(i % 5)]) for i in range(3000)] + [(i, [1.0, i / 100]) for i in range(10, 40)] + [(0, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(7, 4 << 20), (39, int(np.float32(0.39) * 1024) * 1024), (38, int(np.float32(0.38) * 1024) * 1024)]
 
 
 def test_topk_edges(spark):
@@ -40,8 +90,7 @@ def test_topk_edges(spark):
 
 
 def test_topk_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 37)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CELLS", 64 * 64)  # shards and blocks of 64
     check(spark, SF, Q.QUERIES["op2_topk"], Q.ORACLE_SQL["op2_topk"])
 
 
