@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandworks.llm import ann, topk
@@ -100,7 +101,8 @@ def exact(vectors, q, k):
     return [i for _, i in s[:k]]
 
 
-def test_ann_recall(spark):
+@pytest.mark.parametrize("SF", ["/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_ann_recall(spark, SF):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     vectors = [(r.vec_id, r.embedding) for r in rows.collect()]
     got: dict[int, list] = {}
@@ -134,5 +136,58 @@ def test_ann_edges(spark):
     got = ann.nearest(rows, F.col("vec_id") % 10 == 0, k=20)
     ids = {r.vec_id for r in got.collect()}
     assert ids <= {0, 7, 8, 10} and {r.query_id for r in got.collect()} == {0, 10}
+    # vectors of another length are a space of their own
+    both = rows.select("vec_id", "embedding").union(spark.createDataFrame([(20, [3.0, 2.0, 1.0]), (30, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>"))
+    got = {(r.query_id, r["rank"], r.vec_id): r.score for r in ann.nearest(both, F.col("vec_id") % 10 == 0, k=20).collect()}
+    assert {k: v for k, v in got.items() if k[0] in (20, 30)} == {(20, 1, 11): 10.0, (20, 2, 30): 1.0, (30, 1, 11): 3.0, (30, 2, 20): 1.0}
     assert ann.nearest(rows.limit(0), F.col("vec_id") % 10 == 0).count() == 0
     assert ann.nearest(rows, F.lit(False)).count() == 0
+
+
+def test_probes_come_in_order_and_reach_success():
+    from itertools import product
+    from math import erf, sqrt
+
+    rng = np.random.default_rng(0)
+    for hashes, distance in ((1, 0.5), (4, 1.1), (5, 2.0)):
+        place = rng.uniform(-3, 3, hashes)
+        cell = np.floor(place / 1.6).astype(int)
+        chance = lambda c: np.prod([(erf(((x + 1) * 1.6 - p) / (distance * sqrt(2))) - erf((x * 1.6 - p) / (distance * sqrt(2)))) / 2 for x, p in zip(c, place)])
+        got = [chance(c) for c in ann.probes(cell, place, 1.6, distance, 0.7).tolist()]
+        all_of_them = sorted((chance(cell + np.array(s)) for s in product(range(-3, 4), repeat=hashes)), reverse=True)
+        assert np.allclose(got, all_of_them[: len(got)]) and 0.7 <= sum(got) < 0.7 + got[-1]
+
+
+def test_repeated_ids_fill_no_places():
+    """Rows that share an id with different vectors count once, in one task too."""
+    import pyarrow as pa
+
+    x = [[1.0, 0.0]] + [[0.9 - i / 1000, 0.1] for i in range(300)] + [[0.5, 0.2], [0.4, 0.3]]
+    ids = [0] + [1] * 300 + [2, 3]
+    vectors = pa.array(x, pa.list_(pa.float64()))
+    left = pa.table([pa.array([0]), pa.array([[1.0, 0.0]], pa.list_(pa.float64())), pa.array([[5]], pa.list_(pa.int64()))], ["query_id", "embedding", "buckets"])
+    right = pa.table([pa.array(ids), vectors, pa.array([5] * len(ids))], ["vec_id", "embedding", "bucket"])
+    got = ann.meet(left, right, 3)
+    assert got["vec_id"].to_pylist() == [1, 2, 3] and got["score"].to_pylist() == [0.9, 0.5, 0.4]
+
+
+def test_groups_are_searched_without_the_rest(spark):
+    """Where vectors form groups, a query visits a small share of the table and finds its neighbours."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((200, 48))
+    x = np.repeat(centres, 30, axis=0) + 0.15 * rng.standard_normal((6000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cut, distance = ann.Projections(48, 1.0), 0.22
+    lifted = cut.lifted(x)
+    share, found = [], []
+    for q in range(0, 6000, 200):
+        seen = np.zeros(len(x), bool)
+        for t in range(ann.TABLES):
+            place = cut.places(cut.scaled(x[q : q + 1]), t)[0]
+            codes = cut.code(ann.probes(np.floor(place / cut.width).astype(int), place, cut.width, distance, ann.SUCCESS))
+            seen |= np.isin(cut.code(np.floor(cut.places(lifted, t) / cut.width).astype(int)), codes)
+        s = x @ x[q]
+        s[q] = -9
+        share.append(seen.mean())
+        found.append(seen[np.argsort(-s)[:20]].mean())
+    assert np.mean(share) < 0.1 and np.mean(found) >= 0.85
