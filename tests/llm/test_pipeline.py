@@ -4,6 +4,8 @@ from strandworks.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from .test_line_dedup import brute as brute_lines
 from .test_near_dedup import brute as brute_copies
 
+from .helpers import edge_docs, empty_docs
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -40,3 +42,17 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+
+
+def test_edges(spark):
+    """Nulls, empty and long texts, repeated rows, columns with clashing names, and an empty table through all stages."""
+    for given in (edge_docs(spark), empty_docs(spark)):
+        docs, kept = given, []
+        for name, stage in P.STAGES:
+            docs = P.saved(stage(spark, docs, SF), f"edge-{name}")
+            kept.append(docs.count())
+            assert name == "bpe" or docs.columns == given.columns
+            if name == "near_dedup" and kept[0]:
+                ids = [r.doc_id for r in docs.collect()]
+                assert {0, 1, 2, None} <= set(ids) and 4 in ids and 5 not in ids
+        assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and bool(kept[-1]) == bool(given.count())
