@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept. All but the last return the columns of ``documents``.
+
+Defined results: null and empty texts pass the filters (nothing in them is
+toxic, repeated or a near copy) and get no tokens; rows with a null doc_id
+pass, and are never near copies of others; equal rows are one document for the
+dedup stages and stay or go together; a document of which line dedup deletes
+all lines goes; mixing may return a document several times or not at all; an
+empty table gives an empty result; further columns of ``documents``, whatever
+their names, stay up to the last stage, which returns doc_id, n_tokens, ids and
+decoded_sha256.
 """
 
 from __future__ import annotations
