@@ -2,7 +2,7 @@
 
 Sessions (session_id, aligned1, aligned2) and keys (session_id, seq_no, key).
 Keys: ArrowLeft, ArrowRight, ArrowUp, ArrowDown and Tab, '-' and ' ', Delete,
-Backspace. The result of a key depends on all before it, so a session's keys
+Backspace, and Reset, which brings back the original strings and the first place. The result of a key depends on all before it, so a session's keys
 are gathered in order (they are one person's strokes) and folded.
 """
 
@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import chars, col
+from ..params import Linear
+from .align import global_alignment
+from .scoring import linear_score
 
 GAP_KEYS, REMOVE_KEYS = ("-", " "), ("Delete", "Backspace")
+RESET = "Reset"
 STATE = "session_id long, aligned1 string, aligned2 string, cursor long, active long, n_keys long"
 
 
@@ -26,6 +30,9 @@ class Editor:
     cursor: int = 0
     active: int = 0
 
+    def __post_init__(self):
+        self.original = list(self.rows)
+
     def press(self, key: str) -> None:
         row = self.rows[self.active]
         if key == "ArrowLeft":
@@ -34,6 +41,9 @@ class Editor:
             self.cursor = min(max(map(len, self.rows)), self.cursor + 1)
         elif key in ("ArrowUp", "ArrowDown", "Tab"):
             self.active = {"ArrowUp": 0, "ArrowDown": 1, "Tab": 1 - self.active}[key]
+        elif key == RESET:
+            self.rows, self.cursor, self.active = list(self.original), 0, 0
+            self.tidy()
         elif key in GAP_KEYS and self.cursor <= len(row):
             self.rows[self.active] = row[: self.cursor] + "-" + row[self.cursor :]
             self.cursor += 1
@@ -76,6 +86,13 @@ def fold(sessions: DataFrame, keys: DataFrame) -> DataFrame:
     return sessions.join(logs, "session_id", "left").select("session_id", "aligned1", "aligned2", "log").mapInPandas(run, STATE)
 
 
+def scored(folded: DataFrame, p: Linear = Linear()) -> DataFrame:
+    """``folded`` with the score after the edits, the optimum of the strings without gaps, and what the optimum would gain."""
+    rows = folded.withColumn("score", linear_score("aligned1", "aligned2", p).total_score)
+    best = global_alignment(F.replace("aligned1", F.lit("-"), F.lit("")), F.replace("aligned2", F.lit("-"), F.lit("")), p).score
+    return rows.withColumn("optimum", best).withColumn("improvement", F.col("optimum") - F.col("score"))
+
+
 def normalised(a: Column | str, b: Column | str) -> Column:
     """struct<aligned1, aligned2>: padded to one length."""
     n = F.greatest(F.length(col(a)), F.length(col(b)))

@@ -19,6 +19,11 @@ def frequencies(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("seq_id", "kmer").agg(F.count("*").alias("frequency"))
 
 
+def counted(kmers: DataFrame) -> DataFrame:
+    """Each different k-mer once: how often it occurs and where first."""
+    return kmers.groupBy("seq_id", "kmer").agg(F.count("*").alias("frequency"), F.min("pos").alias("pos"))
+
+
 def with_frequency(kmers: DataFrame) -> DataFrame:
     """Each k-mer with its frequency in the sequence; a window over one sequence's k-mer."""
     n = F.count("*").over(W.partitionBy("seq_id", "kmer"))
@@ -44,12 +49,11 @@ def covering(kmers: DataFrame, pos: int | Column) -> DataFrame:
 
 def statistics(kmers: DataFrame) -> DataFrame:
     """Per sequence: totals, the most common k-mers with all ties, mean frequency, complexity."""
-    f = frequencies(kmers)
-    best = f.groupBy("seq_id").agg(F.max("frequency").alias("max_frequency"))
-    common = f.join(best, "seq_id").filter(F.col("frequency") == F.col("max_frequency")).groupBy("seq_id").agg(F.sort_array(F.collect_list("kmer")).alias("most_common"))
-    sums = f.groupBy("seq_id").agg(F.sum("frequency").alias("total"), F.count("*").alias("unique"), F.max("frequency").alias("max_frequency"))
+    each = F.collect_list(F.struct("frequency", "kmer"))  # the different k-mers of one sequence
+    sums = frequencies(kmers).groupBy("seq_id").agg(F.sum("frequency").alias("total"), F.count("*").alias("unique"), F.max("frequency").alias("max_frequency"), each.alias("each"))
+    common = F.transform(F.filter("each", lambda x: x.frequency == F.col("max_frequency")), lambda x: x.kmer)
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    return sums.join(common, "seq_id").select(
-        "seq_id", "total", "unique", (F.col("total") - F.col("unique")).alias("duplicate"), "max_frequency", F.array_join("most_common", ",").alias("most_common"),
+    return sums.select(
+        "seq_id", "total", "unique", (F.col("total") - F.col("unique")).alias("duplicate"), "max_frequency", F.array_join(F.sort_array(common), ",").alias("most_common"),
         ratio("total", "unique").alias("average_frequency"), ratio("unique", "total").alias("complexity_ratio"),
     )

@@ -72,6 +72,14 @@ def dense_regions(densities: DataFrame, least: float = 0.3) -> DataFrame:
     return densities.filter(F.col("density") >= least)
 
 
+def dense(matches: DataFrame, lengths: DataFrame, k: int, window: int = 10, least: float = 0.3) -> DataFrame:
+    """``dense_regions`` of ``density`` for a positive ``least``: only windows with a match are ever made."""
+    reach = max(window - k, -1)
+    starts = F.sequence(F.greatest(F.col("db_pos") - reach, F.lit(0)), F.col("db_pos")) if reach >= 0 else F.array().cast("array<long>")
+    hits = matches.select(*PAIR, F.explode(starts).alias("start")).groupBy(*PAIR, "start").agg((F.count("*") / F.lit(float(window))).alias("density")).filter(F.col("density") >= least)
+    return hits.join(lengths, "db_id").filter(F.col("start") <= F.col("length") - window).select(*PAIR, "start", "density")
+
+
 def diagonals(matches: DataFrame) -> DataFrame:
     return matches.withColumn("diagonal", F.col("db_pos") - F.col("query_pos")).groupBy(*PAIR, "diagonal").agg(
         F.count("*").alias("n"), F.min("query_pos").alias("min_query"), F.max("query_pos").alias("max_query"), F.min("db_pos").alias("min_db"), F.max("db_pos").alias("max_db")

@@ -136,6 +136,19 @@ def recommendations(s: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+#: Kind of each advice, and what to do about it.
+KINDS = {
+    "low": ("warning", "Check the sequences and the parameters of the alignment"), "gaps": ("info", "Change the gap penalties or look at the alignment again"),
+    "negative": ("tip", "Lower the gap penalties or raise the reward of matches"), "long": ("info", "Think of large insertions or deletions"),
+}
+
+
+def advice(s: Column) -> Column:
+    """array<struct<type, message, action>> for the texts of ``recommendations``."""
+    whole = F.create_map(*(x for k, text in ADVICE.items() for x in (F.lit(text), F.struct(F.lit(KINDS[k][0]).alias("type"), F.lit(text).alias("message"), F.lit(KINDS[k][1]).alias("action")))))
+    return F.transform(recommendations(s), lambda text: F.element_at(whole, text))
+
+
 def linear_report(a: Column | str, b: Column | str, p: Linear = Linear()) -> Column:
     """Summary, breakdown, advice, comparison."""
     s = linear_score(a, b, p)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.sequences import js_round, round1, upto
+from ..functions.sequences import js_round, round1
 from ..params import Diagonal, Search
 from .matches import PAIR
 from .scoring import alignment_stats, quality_score
@@ -48,11 +48,11 @@ def by_diagonal(matches: DataFrame, p: Diagonal = Diagonal()) -> DataFrame:
     gap = F.col("query_pos") - F.lag("query_pos").over(order) - p.k
     runs = _islands(rows, order, ~F.coalesce(gap <= p.max_gap, F.lit(False)))
     seeds = runs.groupBy(*PAIR, "diagonal", "island").agg(F.min("query_pos").alias("query_start"), (F.max("query_pos") + p.k - 1).alias("query_end"), F.min("db_pos").alias("db_start"), (F.max("db_pos") + p.k - 1).alias("db_end"), F.count("*").alias("match_count"))
-    seeds = seeds.filter(F.col("match_count") >= p.min_matches).withColumn("score", F.col("match_count") * p.k * 2.0).drop("island")
     # diagonals come as from 0 upwards, then the negative ones in the order of their first match
-    seen = matches.groupBy(*PAIR, (F.col("db_pos") - F.col("query_pos")).alias("diagonal")).agg(F.min(F.struct("query_pos", "db_pos")).alias("seen"))
+    seeds = seeds.withColumn("seen", F.min(F.struct("query_start", "db_start")).over(W.partitionBy(*PAIR, "diagonal")))
+    seeds = seeds.filter(F.col("match_count") >= p.min_matches).withColumn("score", F.col("match_count") * p.k * 2.0).drop("island")
     turn = W.partitionBy(*PAIR).orderBy(F.col("diagonal") < 0, F.when(F.col("diagonal") >= 0, F.col("diagonal")), "seen", "query_start")
-    out = seeds.join(seen, [*PAIR, "diagonal"]).withColumn("seed_id", (F.row_number().over(turn) - 1).cast("long")).drop("seen")
+    out = seeds.withColumn("seed_id", (F.row_number().over(turn) - 1).cast("long")).drop("seen")
     length = F.col("query_end") - F.col("query_start") + 1
     return out.withColumns({"length": length, "db_length": F.col("db_end") - F.col("db_start") + 1, "density": F.col("match_count") / length, "coverage": F.col("match_count") * p.k / length})
 
@@ -123,30 +123,56 @@ def seed_gaps(matches: DataFrame, p: Diagonal = Diagonal()) -> DataFrame:
     return gaps.groupBy(*PAIR, "diagonal").agg(F.count_if(F.col("gap") > 0).alias("gaps"), F.avg(F.when(F.col("gap") > 0, F.col("gap"))).alias("average_gap"), F.coalesce(F.max(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0)).alias("largest_gap"))
 
 
+def details(seeds: DataFrame, matches: DataFrame, p: Diagonal = Diagonal()) -> DataFrame:
+    """Each seed with its matches in order, the gaps between them, and its potential to be extended."""
+    on = [*PAIR, "diagonal"]
+    rows = matches.withColumn("diagonal", F.col("db_pos") - F.col("query_pos"))
+    inside = (F.col("query_pos") >= F.col("query_start")) & (F.col("query_pos") + p.k - 1 <= F.col("query_end"))
+    own = seeds.select(*on, "seed_id", "query_start", "query_end").join(rows, on).filter(inside)
+    each = own.groupBy(*PAIR, "seed_id", "diagonal").agg(F.sort_array(F.collect_list(F.struct("query_pos", "db_pos", "kmer"))).alias("matches"))
+    gaps = F.zip_with(F.slice("matches", 2, F.size("matches")), F.slice("matches", 1, F.size("matches") - 1), lambda x, y: x.query_pos - y.query_pos - p.k)
+    each = each.withColumn("open", F.filter(gaps, lambda g: g > 0))
+    total = F.aggregate("open", F.lit(0).cast("long"), lambda s, g: s + g)
+    out = each.select(*PAIR, "seed_id", "diagonal", "matches", F.size("open").cast("long").alias("gaps"), F.try_divide(total, F.size("open")).alias("average_gap"), F.coalesce(F.array_max("open"), F.lit(0)).cast("long").alias("largest_gap"))
+    return out.join(extension_potential(seeds), [*PAIR, "seed_id"])
+
+
 def extension_potential(seeds: DataFrame) -> DataFrame:
     level = F.when(F.col("density") > 0.7, "high").when(F.col("density") > 0.4, "medium").otherwise("low")
     return seeds.select(*PAIR, "seed_id", ((F.col("query_start") > 0) & (F.col("db_start") > 0)).alias("left"), F.lit(True).alias("right"), (F.col("score") * 0.3).alias("estimated_score"), level.alias("confidence"))
 
 
-def walk(a: Column, b: Column, match: float, mismatch: float, drop: float, floor: float | None = None) -> Column:
-    """Along two flanks from their start: gain, length at the first highest sum, whether a rule stopped it, steps, whether it fell by the drop.
+#: Letters of a flank that are walked before the next ones are even split: most walks stop in the first part.
+PARTS = (64, 1024, 1 << 30)
+
+
+def walked(rows: DataFrame, name: str, a: Column, b: Column, match: float, mismatch: float, drop: float, floor: float | None = None) -> DataFrame:
+    """``rows`` with the struct ``name``, of a walk along two flanks from their start: highest sum (best), length there (at), whether a rule stopped it, steps, whether it fell by the drop.
 
     It stops after a step at which the sum is more than ``drop`` below its
-    highest value, or below minus ``floor``.
+    highest value, or below minus ``floor``. Each part is a column of its own,
+    which is not computed for walks that have stopped.
     """
-    n = F.least(F.length(a), F.length(b))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("at"), F.lit(False).alias("stop"), F.lit(0).alias("steps"), F.lit(False).alias("fell"))
 
-    def step(s: Column, i: Column) -> Column:
-        now = s.sum + F.when(F.substring(a, i + 1, F.lit(1)) == F.substring(b, i + 1, F.lit(1)), float(match)).otherwise(float(mismatch))
-        better = now > s.best
+    def step(s: Column, same: Column) -> Column:
+        now = s.sum + F.when(same, float(match)).otherwise(float(mismatch))
+        better, steps = now > s.best, s.steps + 1
         best = F.when(better, now).otherwise(s.best)
         fell = now < best - abs(float(drop))
         stop = fell if floor is None else fell | (now < -abs(float(floor)))
-        new = F.struct(now.alias("sum"), best.alias("best"), F.when(better, i + 1).otherwise(s.at).alias("at"), stop.alias("stop"), (i + 1).alias("steps"), fell.alias("fell"))
+        new = F.struct(now.alias("sum"), best.alias("best"), F.when(better, steps).otherwise(s.at).alias("at"), stop.alias("stop"), steps.alias("steps"), fell.alias("fell"))
         return F.when(s.stop, s).otherwise(new)
 
-    return F.aggregate(upto(n), start, step)
+    rows, low = rows.withColumn(name, start), 0
+    n = F.least(F.length(a), F.length(b))
+    for high in PARTS:
+        width = F.least(n, F.lit(high)) - low
+        part = lambda x: F.split(F.substring(x, F.lit(low + 1), width), "")  # noqa: B023, E731
+        state = F.col(name)
+        rows = rows.withColumn(name, F.when(state.stop | (n <= low), state).otherwise(F.aggregate(F.zip_with(part(a), part(b), lambda x, y: x == y), state, step)))
+        low = high
+    return rows
 
 
 def _with_flanks(seeds: DataFrame, queries: DataFrame, databases: DataFrame) -> DataFrame:
@@ -164,9 +190,9 @@ def _with_flanks(seeds: DataFrame, queries: DataFrame, databases: DataFrame) ->
 
 
 def _grown(rows: DataFrame, p: Search | Diagonal, floor: float | None) -> DataFrame:
-    left = walk(F.col("left_q"), F.col("left_d"), p.match, p.mismatch, p.drop, floor)
-    right = walk(F.col("right_q"), F.col("right_d"), p.match, p.mismatch, p.drop, floor)
-    rows = rows.withColumns({"left": left, "right": right}).drop("left_q", "left_d", "right_q", "right_d")
+    for side in ("left", "right"):
+        rows = walked(rows, side, F.col(f"{side}_q"), F.col(f"{side}_d"), p.match, p.mismatch, p.drop, floor)
+    rows = rows.drop("left_q", "left_d", "right_q", "right_d")
     rows = rows.withColumns({"query_start": F.col("query_start") - F.col("left.at"), "db_start": F.col("db_start") - F.col("left.at"), "query_end": F.col("query_end") + F.col("right.at"), "db_end": F.col("db_end") + F.col("right.at")})
     part = lambda s, side: F.substring(F.col(s), (F.col(f"{side}_start") + 1).cast("int"), (F.col(f"{side}_end") - F.col(f"{side}_start") + 1).cast("int"))
     return rows.withColumns({"query_alignment": part("query", "query"), "db_alignment": part("database", "db")}).drop("query", "database")

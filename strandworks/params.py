@@ -66,6 +66,12 @@ def is_symmetric(matrix: dict[str, float]) -> bool:
     return all(m[a + b] == m[b + a] for a, b in product(BASES, repeat=2))
 
 
+def scoring_summary(p: Affine) -> dict[str, object]:
+    """What is shown of affine parameters: the kind of matrix, the scores of AA and AT, gaps, symmetry."""
+    m = flat(p.matrix)
+    return {"matrix_type": matrix_type(m), "match_score": m["AA"], "mismatch_score": m["AT"], "gap_open": float(p.gap_open), "gap_extend": float(p.gap_extend), "end_gap": float(p.end_gap), "is_symmetric": is_symmetric(m)}
+
+
 @dataclass(frozen=True)
 class Affine:
     matrix: dict[str, float] = field(default_factory=match_matrix, hash=False)

@@ -172,8 +172,7 @@ def sequence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- k-mers and matches -----------------------------------------------------
 @query(f"WITH {D}, {km('k', 'd')} SELECT seq_id, kmer, count(*) AS frequency, min(pos) AS pos FROM k GROUP BY ALL")
 def kmer_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = kmers.generate(tables.databases_of(spark, sf_dir), K)
-    return kmers.frequencies(k).join(kmers.distinct(k).select("seq_id", "kmer", "pos"), ["seq_id", "kmer"])
+    return kmers.counted(kmers.generate(tables.databases_of(spark, sf_dir), K))
 
 
 @query(f"WITH {Q}, {km('k', 'q')} SELECT *, count(*) OVER (PARTITION BY seq_id, kmer) AS frequency, count(*) OVER (PARTITION BY seq_id, kmer) = 1 AS is_unique FROM k")
@@ -232,7 +231,7 @@ def matches_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM n WHERE density >= 0.3"""
 )
 def dense_match_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.dense_regions(matches.density(_matches(spark, sf_dir, Search(k=DENSE_K)), _lengths(spark, sf_dir), DENSE_K, 20), 0.3)
+    return matches.dense(_matches(spark, sf_dir, Search(k=DENSE_K)), _lengths(spark, sf_dir), DENSE_K, 20, 0.3)
 
 
 @query(f"WITH {MATCHES} SELECT query_id, db_id, db_pos - query_pos AS diagonal, count(*) AS n, min(query_pos) AS min_query, max(query_pos) AS max_query, min(db_pos) AS min_db, max(db_pos) AS max_db FROM m GROUP BY ALL")
