@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequences as S
 from .operators import align, dotplot, editing, kmers, matches, scoring, seeds, validate
-from .params import Affine, Diagonal, Linear, Local, Search, match_matrix, transition_matrix
+from .params import Affine, Diagonal, Linear, Local, Search, match_matrix, scoring_summary, transition_matrix
 from .plans.search import search, search_by_diagonal, summary
 from .plans.synteny import synteny
 from .sources import catalog, export, tables
@@ -462,12 +462,41 @@ fill AS (SELECT pair_id, seq1, seq2, 0::BIGINT AS i, list_transform(range(0, len
  UNION ALL SELECT pair_id, seq1, seq2, i + 1, list_reduce(list_transform(range(1, length(seq2) + 1), lambda j: [greatest(r[j] + CASE WHEN substr(seq1, i + 1, 1) = substr(seq2, j, 1) THEN 2 ELSE -1 END, r[j + 1] - 2)]), lambda acc, x: list_append(acc, greatest(x[1], acc[len(acc)] - 2)), [-2 * (i + 1)]) FROM fill WHERE i < length(seq1))"""
 
 
+def _traced(rows: str) -> str:
+    """The matrices of the pairs in ``rows``, and the way back: diagonal before up before left."""
+    return f"""fill AS (SELECT pair_id, seq1, seq2, 0::BIGINT AS i, list_transform(range(0, length(seq2) + 1), lambda j: -2 * j) AS r FROM {rows}
+ UNION ALL SELECT pair_id, seq1, seq2, i + 1, list_reduce(list_transform(range(1, length(seq2) + 1), lambda j: [greatest(r[j] + CASE WHEN substr(seq1, i + 1, 1) = substr(seq2, j, 1) THEN 2 ELSE -1 END, r[j + 1] - 2)]), lambda acc, x: list_append(acc, greatest(x[1], acc[len(acc)] - 2)), [-2 * (i + 1)]) FROM fill WHERE i < length(seq1)),
+mat AS MATERIALIZED (SELECT pair_id, list(r ORDER BY i) AS m FROM fill GROUP BY pair_id),
+back AS (SELECT pair_id, seq1, seq2, length(seq1)::BIGINT AS i, length(seq2)::BIGINT AS j, '' AS x, '' AS y FROM {rows}
+ UNION ALL SELECT pair_id, seq1, seq2, CASE WHEN d OR u THEN i - 1 ELSE i END, CASE WHEN u AND NOT d THEN j ELSE j - 1 END, CASE WHEN d OR u THEN substr(seq1, i, 1) ELSE '-' END || x, CASE WHEN u AND NOT d THEN '-' ELSE substr(seq2, j, 1) END || y
+ FROM (SELECT back.*, i > 0 AND j > 0 AND coalesce(m[i + 1][j + 1] = m[i][j] + CASE WHEN substr(seq1, i, 1) = substr(seq2, j, 1) THEN 2 ELSE -1 END, false) AS d, i > 0 AND coalesce(m[i + 1][j + 1] = m[i][j + 1] - 2, false) AS u FROM back JOIN mat USING (pair_id) WHERE i > 0 OR j > 0)),
+traced AS (SELECT pair_id, x, y, m[len(m)][len(m[len(m)])]::DOUBLE AS score, range(1, length(x) + 1) AS ks FROM back JOIN mat USING (pair_id) WHERE i = 0 AND j = 0),
+told AS (SELECT *, len(list_filter(ks, lambda k: substr(x, k, 1) = substr(y, k, 1))) AS matches, len(list_filter(ks, lambda k: substr(x, k, 1) = '-' OR substr(y, k, 1) = '-')) AS gaps FROM traced)"""
+
+
+_TRANSITIONS = "CASE WHEN {x} = {y} AND {x} IN ('A', 'C', 'G', 'T') THEN 2 WHEN {x} || {y} IN ('AG', 'GA', 'CT', 'TC') THEN 0 WHEN {x} IN ('A', 'C', 'G', 'T') AND {y} IN ('A', 'C', 'G', 'T') THEN -2 ELSE 0 END::DOUBLE"
+_INF = "'-inf'::DOUBLE"
+#: Three matrices (pairs, gaps in the second, gaps in the first) with opening -3, extension -1, end gaps -1 more; and the way back through them.
+_AFFINE_BACK = f"""fill AS (SELECT pair_id, seq1, seq2, 0::BIGINT AS i, list_transform(range(0, length(seq2) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {_INF} END) AS p, list_transform(range(0, length(seq2) + 1), lambda j: {_INF}) AS d, list_transform(range(0, length(seq2) + 1), lambda j: CASE WHEN j = 0 THEN {_INF} ELSE (-2.0 - 2 * j)::DOUBLE END) AS a FROM ip
+ UNION ALL SELECT pair_id, seq1, seq2, i, p, d, list_reduce(list_transform(range(0, length(seq2)), lambda j: [p[j + 1] - 3]), lambda acc, x: list_append(acc, greatest(x[1], acc[len(acc)] - 1)), [{_INF}]) FROM
+ (SELECT pair_id, seq1, seq2, i + 1 AS i, list_prepend({_INF}, list_transform(range(1, length(seq2) + 1), lambda j: greatest(p[j], d[j], a[j]) + {_TRANSITIONS.format(x='substr(seq1, i + 1, 1)', y='substr(seq2, j, 1)')})) AS p, list_prepend((-4.0 - 2 * i)::DOUBLE, list_transform(range(1, length(seq2) + 1), lambda j: greatest(p[j + 1] - 3, d[j + 1] - 1))) AS d FROM fill WHERE i < length(seq1))),
+mat AS MATERIALIZED (SELECT pair_id, list(p ORDER BY i) AS p, list(d ORDER BY i) AS d, list(a ORDER BY i) AS a FROM fill GROUP BY pair_id),
+fin AS (SELECT pair_id, seq1, seq2, length(seq1)::BIGINT AS n, length(seq2)::BIGINT AS m, p[n + 1][m + 1] AS fp, d[n + 1][m + 1] - 1 AS fd, a[n + 1][m + 1] - 1 AS fa FROM ip JOIN mat USING (pair_id)),
+back AS (SELECT pair_id, seq1, seq2, n AS i, m AS j, CASE WHEN fd >= fa AND fd >= fp THEN 'd' WHEN fa >= fp THEN 'a' ELSE 'p' END AS state, '' AS x, '' AS y FROM fin
+ UNION ALL SELECT pair_id, seq1, seq2, i - di, j - dj, CASE WHEN i - di = 0 OR j - dj = 0 THEN state WHEN now = 'd' THEN CASE WHEN p[i][j + 1] - 3 >= d[i][j + 1] - 1 THEN 'p' ELSE 'd' END WHEN now = 'a' THEN CASE WHEN p[i + 1][j] - 3 >= a[i + 1][j] - 1 THEN 'p' ELSE 'a' END
+  WHEN p[i][j] >= d[i][j] AND p[i][j] >= a[i][j] THEN 'p' WHEN d[i][j] >= a[i][j] THEN 'd' ELSE 'a' END, CASE WHEN di = 1 THEN substr(seq1, i, 1) ELSE '-' END || x, CASE WHEN dj = 1 THEN substr(seq2, j, 1) ELSE '-' END || y
+ FROM (SELECT *, CASE WHEN now = 'a' THEN 0 ELSE 1 END AS di, CASE WHEN now = 'd' THEN 0 ELSE 1 END AS dj FROM (SELECT back.*, CASE WHEN j = 0 THEN 'd' WHEN i = 0 THEN 'a' ELSE state END AS now, p, d, a FROM back JOIN mat USING (pair_id) WHERE i > 0 OR j > 0)))"""
+
+
 @query(f"WITH {_NW} SELECT pair_id, r[len(r)]::DOUBLE AS score FROM fill WHERE i = length(seq1)")
 def global_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.part_pairs(spark, sf_dir).select("pair_id", align.global_alignment("seq1", "seq2").alias("g")).select("pair_id", "g.score")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PARTS}, {_traced('pp')} SELECT pair_id, x AS aligned1, y AS aligned2, score, matches, length(x) - matches - gaps AS mismatches, gaps, floor(matches * 1000.0 / length(x) + 0.5) / 10 AS identity,
+array_to_string(list_transform(ks, lambda k: CASE WHEN substr(x, k, 1) = substr(y, k, 1) THEN '|' ELSE ' ' END), '') AS line FROM told"""
+)
 def global_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.part_pairs(spark, sf_dir).withColumn("g", align.global_alignment("seq1", "seq2"))
     rows = rows.withColumn("s", scoring.linear_score("g.aligned1", "g.aligned2"))
@@ -482,6 +511,12 @@ def affine_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", "g.aligned1", "g.aligned2", F.col("g.score").alias("optimum"), "s.*", "valid")
 
 
+@query(f"WITH RECURSIVE {ITEMS}, {_AFFINE_BACK} SELECT pair_id, x AS aligned1, y AS aligned2, greatest(fp, fd, fa) AS optimum FROM back JOIN fin USING (pair_id) WHERE i = 0 AND j = 0")
+def affine_tracebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.item_pairs(spark, sf_dir).withColumn("g", align.affine_alignment("seq1", "seq2", Affine(transition_matrix())))
+    return rows.select("pair_id", "g.aligned1", "g.aligned2", F.col("g.score").alias("optimum"))
+
+
 @query()
 def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local(threshold=12))
@@ -595,7 +630,13 @@ def edited_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = tables.user_sequences(spark, sf_dir)
     key = F.element_at(F.create_map(*(F.lit(x) for kv in (("V", "ArrowRight"), ("S", "-"), ("E", "Tab"), ("C", "Backspace"), ("P", "ArrowLeft")) for x in kv)), F.upper(F.substring("event_type", 1, 1)))
     keys = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq_no"), key.alias("key"))
-    return editing.fold(seqs.select(F.col("seq_id").alias("session_id"), F.col("seq").alias("aligned1"), F.col("seq").alias("aligned2")), keys)
+    return editing.scored(editing.fold(seqs.select(F.col("seq_id").alias("session_id"), F.col("seq").alias("aligned1"), F.col("seq").alias("aligned2")), keys))
+
+
+@query("SELECT user_id AS session_id, 2.0::DOUBLE * count(*) AS optimum, true AS reached FROM events GROUP BY user_id")
+def edited_optima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps never change the letters, so a sequence edited against itself has its own optimum, and none above it."""
+    return edited_sessions(spark, sf_dir).select("session_id", "optimum", ((F.col("score") <= F.col("optimum")) & (F.col("score") + F.col("improvement") == F.col("optimum"))).alias("reached"))
 
 
 # --- views of alignments ---------------------------------------------------------
@@ -672,19 +713,122 @@ def extension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.at_least(seeds.overlapping_region(ext, "query", 10, 30), identity=60, length=14).select("query_id", "db_id", "seed_id", "score", "final_id")
 
 
+# --- details and single look-ups ---------------------------------------------------
+@query(
+    f"""WITH {DIAGONAL_SQL}, w AS (SELECT s.query_id, s.db_id, s.seed_id, s.diagonal, count(*) AS n_matches, count(*) FILTER (WHERE l.query_pos > s.query_start AND gap > 0) AS gaps, avg(gap) FILTER (WHERE l.query_pos > s.query_start AND gap > 0) AS average_gap, coalesce(max(gap) FILTER (WHERE l.query_pos > s.query_start AND gap > 0), 0) AS largest_gap, min(l.kmer) AS least_kmer
+FROM diag s JOIN l ON s.query_id = l.query_id AND s.db_id = l.db_id AND s.diagonal = l.diagonal AND l.query_pos BETWEEN s.query_start AND s.query_end - {K} + 1 GROUP BY ALL)
+SELECT w.*, query_start > 0 AND db_start > 0 AS "left", score * 0.3::DOUBLE AS estimated_score FROM w JOIN diag USING (query_id, db_id, seed_id, diagonal) WHERE seed_id = 1"""
+)
+def seed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All about the second seed of each pair; pairs without one have no row."""
+    stages = _diagonal(spark, sf_dir)
+    rows = seeds.details(stages["seeds"].filter("seed_id = 1"), stages["matches"], BY_DIAGONAL)
+    least = F.array_min(F.transform("matches", lambda m: m.kmer)).alias("least_kmer")
+    return rows.select("query_id", "db_id", "seed_id", "diagonal", F.size("matches").cast("long").alias("n_matches"), "gaps", "average_gap", "largest_gap", least, "left", "estimated_score")
+
+
+@query(f"WITH {MATCHES} SELECT * FROM m WHERE query_pos >= 5 AND query_pos + {K} - 1 <= 40")
+def matches_in_query_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.in_region(_matches(spark, sf_dir), "query", 5, 40, K)
+
+
+@query(f"WITH {MATCHES} SELECT query_id, db_id, query_pos, count(*) AS n, min(db_pos) AS first_db_pos, max(db_pos) AS last_db_pos FROM m GROUP BY ALL")
+def matches_by_query_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matches.grouped(_matches(spark, sf_dir), "query_pos")
+    return rows.select("query_id", "db_id", "query_pos", "n", F.col("matches")[0].db_pos.alias("first_db_pos"), F.element_at("matches", -1).db_pos.alias("last_db_pos"))
+
+
+@query(f"WITH {MATCHES} SELECT * FROM m WHERE kmer = 'ATTATA'")
+def matches_of_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.of_kmer(_matches(spark, sf_dir), "attata")
+
+
+@query(f"WITH {Q}, {km('k', 'q')} SELECT * FROM k WHERE pos = 7")
+def kmers_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.at(kmers.generate(tables.queries_of(spark, sf_dir), K), 7)
+
+
+@query(f"WITH {PARTS}, t AS (SELECT pair_id, seq1, seq2, left(seq1, 4) AS x, left(seq2, 4) AS y FROM pp) SELECT pair_id, x = y AS same, hamming(x, y) <= 1 AS close, regexp_matches(seq1, '^[ATCG]+$') AND regexp_matches(seq2, '^[ATCG]+$') AND length(seq1) BETWEEN 5 AND 50 AND length(seq2) BETWEEN 5 AND 50 AS affine_ok FROM t WHERE length(seq1) >= 4 AND length(seq2) >= 4")
+def kmer_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.part_pairs(spark, sf_dir).filter("length(seq1) >= 4 and length(seq2) >= 4")
+    x, y = F.substring("seq1", 1, 4), F.substring("seq2", 1, 4)
+    return rows.select("pair_id", S.close_kmer(x, y, False).alias("same"), S.close_kmer(x, y, True).alias("close"), validate.affine_pair_ok("seq1", "seq2").alias("affine_ok"))
+
+
+@query(f"WITH {ITEMS} SELECT pair_id, seq1 <> '' AND seq2 <> '' AND length(seq1) BETWEEN 5 AND 50 AND length(seq2) BETWEEN 5 AND 50 AS affine_ok FROM ip")
+def affine_pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.item_pairs(spark, sf_dir).select("pair_id", validate.affine_pair_ok("seq1", "seq2").alias("affine_ok"))
+
+
+@query(
+    f"""WITH {COLUMNS}, k AS (SELECT pair_id, count(*) AS n, count(*) FILTER (WHERE x = '-' OR y = '-') AS gaps, count(*) FILTER (WHERE x = y AND x <> '-') AS matches, count(*) FILTER (WHERE x <> y AND x <> '-' AND y <> '-') AS mismatches FROM c GROUP BY pair_id)
+SELECT pair_id, 'warning' AS type, '{scoring.ADVICE["low"]}' AS message, '{scoring.KINDS["low"][1]}' AS action FROM k WHERE floor(matches * 1000.0 / n + 0.5) / 10 < 30
+UNION ALL SELECT pair_id, 'info', '{scoring.ADVICE["gaps"]}', '{scoring.KINDS["gaps"][1]}' FROM k WHERE gaps > n * 0.5
+UNION ALL SELECT pair_id, 'tip', '{scoring.ADVICE["negative"]}', '{scoring.KINDS["negative"][1]}' FROM k WHERE 2 * matches - mismatches - 2 * gaps < 0 AND matches > 0"""
+)
+def score_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gapped(spark, sf_dir).withColumn("s", scoring.linear_score("a", "b"))
+    return rows.select("pair_id", F.explode(scoring.advice(F.col("s"))).alias("r")).select("pair_id", "r.*")
+
+
+@query("SELECT * FROM (VALUES ('match', 'Match/Mismatch', 2.0::DOUBLE, -1.0::DOUBLE, -3.0::DOUBLE, -1.0::DOUBLE, -1.0::DOUBLE, true), ('transition', 'Transition/Transversion', 2.0, -2.0, -3.0, -1.0, -1.0, true)) t(matrix, matrix_type, match_score, mismatch_score, gap_open, gap_extend, end_gap, is_symmetric)")
+def scoring_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, *scoring_summary(p).values()) for n, p in (("match", Affine()), ("transition", Affine(transition_matrix())))]
+    return spark.createDataFrame(rows, "matrix string, matrix_type string, match_score double, mismatch_score double, gap_open double, gap_extend double, end_gap double, is_symmetric boolean")
+
+
 # --- example catalogs ------------------------------------------------------------
+def _values(*names: str) -> str:
+    """The example rows as an SQL table ``ex``."""
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
+    rows = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in catalog.EXAMPLES if not names or r[0] in names)
+    return f"ex AS (SELECT catalog, key, level, \"window\"::INTEGER AS \"window\", seq1, seq2 FROM (VALUES {rows}) t(catalog, key, level, \"window\", seq1, seq2))"
+
+
+@query(f"WITH {_values()} SELECT catalog, key, coalesce(level, '') AS level, coalesce(\"window\", 0) AS \"window\", seq1, seq2 FROM ex")
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.examples(spark).fillna({"level": "", "window": 0})
+
+
 @query()
 def catalog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.examples(spark)
 
 
-@query()
+@query(f"WITH {_values()} SELECT catalog, key, length(seq1) AS length1, length(seq2) AS length2, seq1 = seq2 AS equal, {_TYPE.format(s='seq1')} AS type FROM ex WHERE regexp_matches(seq1, '^[ATCG]+$') AND regexp_matches(seq2, '^[ATCG]+$') AND length(seq1) BETWEEN 5 AND 50 AND length(seq2) BETWEEN 5 AND 50")
+def catalog_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.sound(catalog.examples(spark))
+    return rows.select("catalog", "key", F.length("seq1").cast("long").alias("length1"), F.length("seq2").cast("long").alias("length2"), (F.col("seq1") == F.col("seq2")).alias("equal"), S.sequence_type("seq1").alias("type"))
+
+
+@query(f"WITH {_values('affine')}, c AS (SELECT level, count(*) AS n FROM ex GROUP BY level) SELECT c.level, n, key, seq1, seq2 FROM c JOIN ex USING (level)")
+def catalog_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affine examples of each level, level by level."""
+    found = [catalog.by_level(spark, r.level) for r in catalog.levels(spark).collect()]  # a few names
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more)
+    return rows.groupBy("level").agg(F.count("*").alias("n")).join(rows.select("level", "key", "seq1", "seq2"), "level")
+
+
+@query(f"WITH {_values()} SELECT 'one' AS asked, key, seq1 FROM ex WHERE catalog = 'dotplot' AND key = 'mutations' UNION ALL SELECT 'default', key, seq1 FROM ex WHERE catalog = 'local' AND key = 'repeat' UNION ALL SELECT 'tier', key, seq1 FROM ex WHERE catalog = 'tiered' AND level = 'beginner' UNION ALL SELECT 'list', key, '' FROM ex WHERE catalog = 'global'")
+def catalog_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By key, by an unknown key with a default, by an unknown tier (the first), and the list of a catalog."""
+    told = lambda rows, name: rows.select(F.lit(name).alias("asked"), "key", "seq1")
+    out = told(catalog.example(spark, "dotplot", "mutations"), "one").union(told(catalog.example(spark, "local", "no such", "repeat"), "default"))
+    return out.union(told(catalog.tier(spark, "unknown"), "tier")).union(told(catalog.listing(spark, "global").withColumn("seq1", F.lit("")), "list"))
+
+
+@query(f"WITH RECURSIVE {_values()}, cp AS (SELECT catalog || '/' || key || '/' || row_number() OVER (ORDER BY catalog, key, seq1, seq2) AS pair_id, catalog, key, seq1, seq2 FROM ex), {_traced('cp')} SELECT catalog, key, x AS aligned1, y AS aligned2, score, floor(matches * 1000.0 / length(x) + 0.5) / 10 AS identity FROM told JOIN cp USING (pair_id)")
 def catalog_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.examples(spark).withColumn("g", align.global_alignment("seq1", "seq2", Linear()))
     return rows.select("catalog", "key", "g.aligned1", "g.aligned2", "g.score", scoring.alignment_stats("g.aligned1", "g.aligned2").identity.alias("identity"))
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT unnest(['A', 'T', 'C', 'G']) AS x), p AS (SELECT a.x AS x, b.x AS y FROM l a CROSS JOIN l b)
+SELECT 'match' AS matrix, x || y AS pair, CASE WHEN x = y THEN 2.0 ELSE -1.0 END::DOUBLE AS score, 'Match/Mismatch' AS type, true AS symmetric FROM p UNION ALL SELECT 'transition', x || y, {_TRANSITIONS.format(x='x', y='y')}, 'Transition/Transversion', true FROM p"""
+)
 def substitution_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .params import is_symmetric, matrix_type
 

@@ -148,3 +148,51 @@ def test_streamed_edits_equal_the_fold(spark, tmp_path):
     sessions = spark.createDataFrame([(1, "ACGT", "ACG")], "session_id long, aligned1 string, aligned2 string")
     want = editing.fold(sessions, spark.createDataFrame([r[:3] for r in rows], "session_id long, seq_no long, key string")).first()
     assert tuple(last) == tuple(want)
+
+
+def test_walks_over_long_flanks(spark):
+    """Flanks of 100,000 letters that match, and walks that stop in each part, against a plain loop."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    same = "".join(rng.choices("ACGT", k=100_000))
+    flanks = [(same, same), (same, same[:70] + "".join(rng.choices("ACGT", k=500))), (same[:2000] + "T" * 50 + "A", same[:2000] + "C" * 50 + "A"), ("", "A"), ("ACGT", "TTTT")]
+    flanks += [("".join(rng.choices("AC", k=200)), "".join(rng.choices("AC", k=150))) for _ in range(40)]
+
+    def plain(a, b, drop, floor):
+        now, best, at, steps, stop, fell = 0.0, 0.0, 0, 0, False, False
+        for x, y in zip(a, b):
+            now, steps = now + (2 if x == y else -1), steps + 1
+            if now > best:
+                best, at = now, steps
+            fell = now < best - drop
+            stop = fell or (floor is not None and now < -floor)
+            if stop:
+                break
+        return best, at, stop, steps, fell
+
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(flanks)], "i long, a string, b string")
+    for drop, floor in ((1, None), (5, 1)):
+        began = time.time()
+        got = {r.i: r.w for r in seeds.walked(rows, "w", F.col("a"), F.col("b"), 2, -1, drop, floor).select("i", "w").collect()}
+        assert time.time() - began < 30
+        for i, (a, b) in enumerate(flanks):
+            assert (got[i].best, got[i]["at"], got[i].stop, got[i].steps, got[i].fell) == plain(a, b, drop, floor), i
+
+
+def test_dense_windows_without_the_others(spark):
+    q, d = table(spark, "ACGTACGTTT", "AAAAAA"), table(spark, "ACGTACGTACGTTTTACGT", "AAAAAAAAAAAA", "AC")
+    found = search(q, d, Search(k=3))["matches"]
+    lengths = d.selectExpr("seq_id as db_id", "cast(length(seq) as long) as length")
+    for window in (2, 3, 10, 15):
+        want = matches.dense_regions(matches.density(found, lengths, 3, window), 0.3)
+        assert sorted(map(str, matches.dense(found, lengths, 3, window, 0.3).collect())) == sorted(map(str, want.collect()))
+
+
+def test_reset_and_scores_of_edits(spark):
+    sessions = spark.createDataFrame([(1, "ACGT", "ACGT"), (2, "ACGT", "ACGT")], "session_id long, aligned1 string, aligned2 string")
+    keys = spark.createDataFrame([(1, 1, "ArrowRight"), (1, 2, "-"), (2, 1, "ArrowRight"), (2, 2, "-"), (2, 3, "Tab"), (2, 4, "Reset")], "session_id long, seq_no long, key string")
+    got = {r.session_id: r for r in editing.scored(editing.fold(sessions, keys)).collect()}
+    assert (got[1].aligned1, got[1].aligned2, got[1].score, got[1].optimum, got[1].improvement) == ("A-CGT", "ACGT-", -4.0, 8.0, 12.0)
+    assert (got[2].aligned1, got[2].cursor, got[2].active, got[2].improvement) == ("ACGT", 0, 1, 0.0)
