@@ -9,8 +9,9 @@ until these add up to SUCCESS in each table; a neighbour's distance is taken
 from the exact distances of SAMPLE queries. A query whose k-th found vector
 lies farther than that goes again with the distance found as its own, which
 its true neighbours cannot exceed; one that found fewer than k visits all
-buckets. Candidates of all tables are ranked by the exact inner product of the
-original vectors. Vectors of each length are a space of their own, with its
+buckets. The k-th best score of the first table is the least that the other
+tables return, and that of all tables the least for second visits. Candidates
+of all tables are ranked by the exact inner product of the original vectors. Vectors of each length are a space of their own, with its
 own norm, distance and projections.
 
 Vectors are indexed by table and bucket; buckets are dealt to segments by
@@ -163,21 +164,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     space = spaces(good, asked, k)
     cut = {d: Projections(d, x.norm, hashes, tables, width) for d, x in space.items()}
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch], some: range) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, part in by_length(batch):
                 x = cut[d].lifted(matrix(part["embedding"]))
-                for t in range(tables):
+                for t in some:
                     code = cut[d].code(np.floor(cut[d].places(x, t) / cut[d].width).astype(np.int64))
                     fixed = [pa.array(np.full(len(x), v, np.int32)) for v in (d, t, space[d].segments)]
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(code), part["vec_id"], part["embedding"]], ["dims", "table", "segments", "bucket", "vec_id", "embedding"])
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visits(batches: Iterator[pa.RecordBatch], some: range) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, part in by_length(batch):
                 c = cut[d]
                 q, reach = c.scaled(matrix(part["embedding"])), part["reach"].to_pylist()
-                for t in range(tables):
+                for t in some:
                     place = c.places(q, t)
                     cell = np.floor(place / c.width).astype(np.int64)
                     lists = [c.code(probes(*x, c.width, r, success)) for *x, r in zip(cell, place, reach)]
@@ -186,19 +187,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(codes), pa.array(np.repeat(part["vec_id"].to_numpy(), sizes))], ["dims", "table", "segments", "bucket", "query_id"])
 
     kind = dict(vectors.dtypes)["embedding"]
-    rows = good.select("vec_id", "embedding").mapInArrow(index, f"dims int, table int, segments int, bucket long, vec_id long, embedding {kind}")
-    hot = saved(rows.groupBy("dims", "table", "bucket").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("parts")).filter("parts > 1"), "ann-hot")
+    def indexed(some: range) -> DataFrame:
+        return good.select("vec_id", "embedding").mapInArrow(lambda batches: index(batches, some), f"dims int, table int, segments int, bucket long, vec_id long, embedding {kind}")
+
+    hot = saved(indexed(range(tables)).groupBy("dims", "table", "bucket").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("parts")).filter("parts > 1"), "ann-hot")
     segment = F.pmod(F.xxhash64("table", "bucket", "part"), F.col("segments")).cast("int").alias("segment")
-    rows = rows.join(hot, ["dims", "table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce("parts", F.lit(1))).cast("int"))
-    rows = rows.select("dims", "table", segment, "bucket", "vec_id", "embedding")
+
+    def dealt(some: range) -> DataFrame:
+        """The vectors in the buckets and segments of these tables."""
+        rows = indexed(some).join(hot, ["dims", "table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce("parts", F.lit(1))).cast("int"))
+        return rows.select("dims", "table", segment, "bucket", "vec_id", "embedding")
+
     place, keys = ["dims", "table", "segment"], ["dims", "table", "segment", "block"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return meet(left, right, k)
 
-    def probed(some: DataFrame) -> DataFrame:
-        """What the queries ``some`` find within ``reach``, or in all buckets where that is null."""
-        asks = some.filter("reach is not null").select("vec_id", "embedding", "reach").mapInArrow(visits, "dims int, table int, segments int, bucket long, query_id long").join(hot, ["dims", "table", "bucket"], "left")
+    def probed(some: DataFrame, own: range) -> DataFrame:
+        """What the queries ``some`` find in the tables ``own`` within ``reach``, or in all buckets where that is null, with a score of ``floor`` or more."""
+        asks = some.filter("reach is not null").select("vec_id", "embedding", "reach").mapInArrow(lambda batches: visits(batches, own), "dims int, table int, segments int, bucket long, query_id long").join(hot, ["dims", "table", "bucket"], "left")
         asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         asks = asks.select("dims", "table", segment, "bucket", "query_id").groupBy(*place, "query_id").agg(F.collect_set("bucket").alias("buckets"))
         count = F.create_map(*(F.lit(v) for d, x in space.items() for v in (d, x.segments)))[F.col("dims")] if space else F.lit(1)
@@ -206,21 +213,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         asks = saved(asks.unionByName(whole), "ann-visits")
         blocks = asks.groupBy(*place).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
         left = asks.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
-        left = left.join(some.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-        right = rows.join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        left = left.join(some.select(F.col("vec_id").alias("query_id"), "embedding", "floor"), "query_id")
+        right = dealt(own).join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         return best_of(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
     pick = lambda f: F.create_map(*(F.lit(v) for d, x in space.items() for v in (d, float(f(x)))))[F.col("dims")] if space else F.lit(1.0)
-    first = saved(best(probed(asked.withColumn("reach", pick(lambda x: x.distance)))), "ann-found")
-    last = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"), F.min("score").alias("score"))
+    def known(found: DataFrame) -> DataFrame:
+        """The queries with ``floor``, their k-th best score so far; null where they have fewer."""
+        last = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"), F.min("score").alias("score"))
+        return asked.join(last, "vec_id", "left").withColumn("floor", F.when(F.col("found") >= k, F.col("score")))
+
+    # what the first table gives is the least that the others have to give
+    first = saved(best(probed(asked.withColumns({"reach": pick(lambda x: x.distance), "floor": F.lit(None).cast("double")}), range(1))), "ann-first")
+    if tables > 1:
+        more = probed(known(first).withColumn("reach", pick(lambda x: x.distance)), range(1, tables))
+        first = saved(best(first.drop("rank").unionByName(more)), "ann-found")
     norm, length = pick(lambda x: x.norm), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     far = F.sqrt(F.greatest(2 * norm * norm - 2 * norm * F.col("score") / length, F.lit(0.0)))
-    again = asked.join(last, "vec_id", "left").withColumn("reach", F.when(F.col("found") >= k, far))
-    again = saved(again.filter(F.col("reach").isNull() | (F.col("reach") > pick(lambda x: x.distance))).select("vec_id", "embedding", "dims", "reach"), "ann-again")
-    return best(first.drop("rank").unionByName(probed(again))) if again.count() else first
+    again = known(first).withColumn("reach", F.when(F.col("found") >= k, far))
+    again = saved(again.filter(F.col("reach").isNull() | (F.col("reach") > pick(lambda x: x.distance))).select("vec_id", "embedding", "dims", "reach", "floor"), "ann-again")
+    return best(first.drop("rank").unionByName(probed(again, range(tables)))) if again.count() else first
 
 
 def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
@@ -238,7 +253,7 @@ def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     asked, asker = asked[order], asker[order]
     order = np.argsort(right["bucket"].to_numpy(), kind="stable")
     bucket, ids, x = right["bucket"].to_numpy()[order], ids[order], x[order]
-    floor = np.full(len(queries), -np.inf)
+    floor = left["floor"].fill_null(-np.inf).to_numpy().copy() if "floor" in left.column_names else np.full(len(queries), -np.inf)
     kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     waiting: list[list[np.ndarray]] = [[], [], []]
     size = 0
