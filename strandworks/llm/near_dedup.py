@@ -17,6 +17,11 @@
 Sets are confirmed by hub: the pairs of a hub are dealt to parts of at most
 PART, and the hub's set is sent once to each part, not with each pair.
 
+Joins by bucket or hub, of which one may hold most rows, meet tables that are
+written first: Spark then knows their size, and where it does not broadcast
+them it can still split the hot key (it does so only for a join whose both
+sides come straight from a shuffle, without an aggregate in between).
+
 Defined results: words are split at ASCII white space after A-Z are
 lower-cased; a text with fewer than five words has one shingle, a null, empty
 or blank text has none and links with nothing; rows that share a doc_id are
@@ -191,7 +196,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append((hub_id, doc_id))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    pairs = saved(pairs, "near-pairs")
+    parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "near-parts")
     facts = lambda name: sets.select(F.col("node").alias(name), "doc_id", "hashes")
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member")).join(facts("a"), "a")
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -206,7 +212,7 @@ def in_buckets(classes: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sketch"), k * width + 1, F.lit(width))))
     rows = classes.select("node", "doc_id", F.col("n_shingles").alias("n"), F.explode(keys).alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    return rows.join(full, "bucket")
+    return rows.join(saved(full, "near-full"), "bucket")
 
 
 def stars(rows: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -218,6 +224,7 @@ def stars(rows: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame
     fresh = F.lit(True) if past is None else ~F.col("given")
     best = F.max(F.struct(fresh, "meetings", (-F.col("node")).alias("last"), F.col("doc_id").alias("hub_id"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n")))
     hubs = rows.groupBy("bucket").agg(best.alias("hub")).select("bucket", (-F.col("hub.last")).alias("hub"), "hub.hub_id", "hub.hub_component", "hub.hub_n")
+    hubs = saved(hubs, "near-hubs")
     met = rows.join(hubs, "bucket").filter("component <> hub_component")
     met = met.filter(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
     return met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), hubs
@@ -282,7 +289,7 @@ def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def unresolved(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components."""
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    return rows.join(mixed, "bucket", "left_semi")
+    return rows.join(saved(mixed, "near-mixed"), "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -305,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = unresolved(labelled(rows, parts))
         if k + 1 < STARS:
             given = hubs.select("bucket", F.col("hub_id").alias("doc_id"))
-            past = labelled(given, parts).select("bucket", "component").distinct().withColumn("given", F.lit(True))
+            past = saved(labelled(given, parts).select("bucket", "component").distinct().withColumn("given", F.lit(True)), "near-past")
             rows = rows.drop("given").join(past, ["bucket", "component"], "left").withColumn("given", F.coalesce("given", F.lit(False)))
         rows = saved(rows, "near-members")
     rest = rows.select("node", "component").distinct()
