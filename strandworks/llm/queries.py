@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, line_dedup, mixing, near_dedup, topk, toxicity, url_filter
+from . import ann, bpe, fingerprints, html_extract, line_dedup, mixing, near_dedup, resampling, topk, toxicity, url_filter, whitening
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
@@ -69,6 +81,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 OP10_SQL = r"""
@@ -149,4 +164,21 @@ c AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
-ORACLE_SQL = {"op9_near_dedup": OP9_SQL, "op2_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op1_mixing": _mixing_sql(), "op10_url_filter": OP10_SQL}
+#: CRC-32 by bytes, from a table that its polynomial makes; each different n-gram is hashed once.
+OP13_SQL = rf"""
+WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+w AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+ws AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM w),
+g AS MATERIALIZED (SELECT side, id, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g FROM ws),
+h AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM g)),
+b AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, (SELECT crc FROM t)[(xor(c, x) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM h),
+o AS MATERIALIZED (SELECT side, id, bucket FROM g JOIN b USING (g)),
+n AS (SELECT count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM o),
+gains AS (SELECT bucket, floor(1000 * ln((count(*) FILTER (WHERE side = 'b') + 1.0::DOUBLE) * (any_value(n.s) + {resampling.BUCKETS})::DOUBLE / ((count(*) FILTER (WHERE side = 'd') + 1.0::DOUBLE) * (any_value(n.t) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM o, n GROUP BY bucket),
+sums AS (SELECT id AS doc_id, count(*) AS n_features, sum(gain) AS total FROM o JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT ws.id AS doc_id, len(ws.ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(floor(total / n_features), 0)::BIGINT AS weight, floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || ws.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS chance FROM ws LEFT JOIN sums ON sums.doc_id = ws.id WHERE side = 'd'),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY weight + chance DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_words >= {resampling.MIN_WORDS})
+SELECT doc_id, n_features, weight, weight + chance AS score, CASE WHEN place <= {resampling.PERCENT} * able // 100 THEN place END AS rank FROM scored LEFT JOIN able USING (doc_id)
+"""
+
+ORACLE_SQL = {"op13_resampling": OP13_SQL, "op9_near_dedup": OP9_SQL, "op2_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op1_mixing": _mixing_sql(), "op10_url_filter": OP10_SQL}
