@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .packed import keys_of
+
 PAIR = ["query_id", "db_id"]
 
 
@@ -25,7 +27,7 @@ def exact(query_kmers: DataFrame, db_kmers: DataFrame) -> DataFrame:
 
 def numbered(matches: DataFrame) -> DataFrame:
     """match_id: the running number in the order of query_pos, db_pos."""
-    return matches.withColumn("match_id", (F.row_number().over(W.partitionBy(*PAIR).orderBy("query_pos", "db_pos")) - 1).cast("long"))
+    return matches.withColumn("match_id", (F.row_number().over(W.partitionBy(*keys_of(matches)).orderBy("query_pos", "db_pos")) - 1).cast("long")).drop("task")
 
 
 def unique_kmers(matches: DataFrame) -> DataFrame:

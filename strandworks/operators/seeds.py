@@ -16,42 +16,58 @@ from pyspark.sql.window import Window as W
 
 from ..functions.sequences import js_round, round1
 from ..params import Diagonal, Search
+from .extension import extended, walked
 from .matches import PAIR
+from .packed import keys_of
 from .scoring import alignment_stats, quality_score
 
 SPANS = ["query_start", "query_end", "db_start", "db_end"]
 
 
-def _islands(rows: DataFrame, order: W, breaks: Column) -> DataFrame:
-    return rows.withColumn("new_", breaks.cast("int")).withColumn("island", F.sum("new_").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new_")
-
-
 def live(matches: DataFrame, p: Search = Search()) -> DataFrame:
-    """One current run over all diagonals, in the order of db_pos, query_pos; gaps may differ by ``max_gap``."""
-    order = W.partitionBy(*PAIR).orderBy("db_pos", "query_pos")
-    q_gap = F.col("query_pos") - F.lag("query_pos").over(order) - p.k
-    d_gap = F.col("db_pos") - F.lag("db_pos").over(order) - p.k
-    follows = (F.abs(q_gap - d_gap) <= p.max_gap) & (q_gap <= p.max_gap) & (d_gap <= p.max_gap)
-    runs = _islands(matches, order, ~F.coalesce(follows, F.lit(False)))
-    first, last = F.min(F.struct("db_pos", "query_pos")), F.max(F.struct("db_pos", "query_pos"))
-    seeds = runs.groupBy(*PAIR, "island").agg(first.alias("a"), last.alias("z"), F.count("*").alias("match_count")).filter(F.col("match_count") >= p.min_matches)
-    number = (F.row_number().over(W.partitionBy(*PAIR).orderBy("island")) - 1).cast("long")
-    spans = (F.col("a.query_pos").alias("query_start"), (F.col("z.query_pos") + p.k - 1).alias("query_end"), F.col("a.db_pos").alias("db_start"), (F.col("z.db_pos") + p.k - 1).alias("db_end"))
-    out = seeds.withColumn("seed_id", number).select(*PAIR, "seed_id", *spans, "match_count", (F.col("match_count") * p.k * float(p.match)).alias("score"))
+    """One current run over all diagonals, in the order of db_pos, query_pos; gaps may differ by ``max_gap``.
+
+    One sort: matches that neither follow nor are followed drop out before
+    runs are put together, and the last row of a run becomes its seed.
+    """
+    keys = keys_of(matches)
+    order = W.partitionBy(*keys).orderBy("db_pos", "query_pos")
+    q, d = F.col("query_pos"), F.col("db_pos")
+
+    def close(q_step: Column, d_step: Column) -> Column:
+        return F.coalesce((F.abs(q_step - d_step) <= p.max_gap) & (q_step - p.k <= p.max_gap) & (d_step - p.k <= p.max_gap), F.lit(False))
+
+    ends = {"q0": F.lag(q).over(order), "d0": F.lag(d).over(order), "q1": F.lead(q).over(order), "d1": F.lead(d).over(order), "nth": F.row_number().over(order)}
+    rows = matches.select(*keys, "query_pos", "db_pos").withColumns(ends).select(*keys, q, d, "nth", (~close(q - F.col("q0"), d - F.col("d0"))).alias("new"), (~close(F.col("q1") - q, F.col("d1") - d)).alias("last"))
+    if p.min_matches > 1:
+        rows = rows.filter(~(F.col("new") & F.col("last")))
+    first = F.last(F.when(F.col("new"), F.struct("db_pos", "query_pos", "nth")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("a", first).filter("last").withColumn("match_count", (F.col("nth") - F.col("a.nth") + 1).cast("long")).filter(F.col("match_count") >= p.min_matches)
+    number = (F.row_number().over(W.partitionBy(*keys).orderBy("a.db_pos", "a.query_pos")) - 1).cast("long")
+    spans = {"query_start": F.col("a.query_pos"), "query_end": q + p.k - 1, "db_start": F.col("a.db_pos"), "db_end": d + p.k - 1}
+    out = rows.withColumn("seed_id", number).select(*PAIR, *keys[2:] and ["task"], "seed_id", *(c.cast("long").alias(n) for n, c in spans.items()), "match_count", (F.col("match_count") * p.k * float(p.match)).alias("score"))
     return out.withColumn("length", F.col("query_end") - F.col("query_start") + 1)
 
 
 def by_diagonal(matches: DataFrame, p: Diagonal = Diagonal()) -> DataFrame:
-    """Runs within a diagonal, in the order of query_pos."""
-    rows = matches.withColumn("diagonal", F.col("db_pos") - F.col("query_pos"))
-    order = W.partitionBy(*PAIR, "diagonal").orderBy("query_pos")
-    gap = F.col("query_pos") - F.lag("query_pos").over(order) - p.k
-    runs = _islands(rows, order, ~F.coalesce(gap <= p.max_gap, F.lit(False)))
-    seeds = runs.groupBy(*PAIR, "diagonal", "island").agg(F.min("query_pos").alias("query_start"), (F.max("query_pos") + p.k - 1).alias("query_end"), F.min("db_pos").alias("db_start"), (F.max("db_pos") + p.k - 1).alias("db_end"), F.count("*").alias("match_count"))
+    """Runs within a diagonal, in the order of query_pos, from matches or from runs of ``n`` matches."""
+    keys = keys_of(matches)
+    n = F.col("n") if "n" in matches.columns else F.lit(1).alias("n")
+    rows = matches.select(*keys, F.col("query_pos").cast("long").alias("query_pos"), (F.col("db_pos") - F.col("query_pos")).cast("long").alias("diagonal"), n)
+    order = W.partitionBy(*keys, "diagonal").orderBy("query_pos")
+    to_here = order.rowsBetween(W.unboundedPreceding, 0)
+    ending = F.col("query_pos") + F.col("n") - 1
+    far = lambda step: ~F.coalesce(step - p.k <= p.max_gap, F.lit(False))
+    rows = rows.withColumns({"before": F.lag(ending).over(order), "after": F.lead("query_pos").over(order), "all": F.sum("n").over(to_here), "seen": F.first("query_pos").over(to_here)})
+    rows = rows.select(*keys, "diagonal", "query_pos", "n", "all", "seen", far(F.col("query_pos") - F.col("before")).alias("new"), far(F.col("after") - ending).alias("last"))
+    rows = rows.filter(~(F.col("new") & F.col("last") & (F.col("n") < p.min_matches)))
+    first = F.last(F.when(F.col("new"), F.struct("query_pos", (F.col("all") - F.col("n")).alias("earlier"))), ignorenulls=True).over(to_here)
+    rows = rows.withColumn("a", first).filter("last").withColumn("match_count", F.col("all") - F.col("a.earlier")).filter(F.col("match_count") >= p.min_matches)
+    start, end = F.col("a.query_pos"), ending + p.k - 1
+    spans = {"query_start": start, "query_end": end, "db_start": start + F.col("diagonal"), "db_end": end + F.col("diagonal")}
+    seeds = rows.select(*PAIR, *keys[2:] and ["task"], "diagonal", "seen", *(c.cast("long").alias(name) for name, c in spans.items()), "match_count", (F.col("match_count") * p.k * 2.0).alias("score"))
     # diagonals come as from 0 upwards, then the negative ones in the order of their first match
-    seeds = seeds.withColumn("seen", F.min(F.struct("query_start", "db_start")).over(W.partitionBy(*PAIR, "diagonal")))
-    seeds = seeds.filter(F.col("match_count") >= p.min_matches).withColumn("score", F.col("match_count") * p.k * 2.0).drop("island")
-    turn = W.partitionBy(*PAIR).orderBy(F.col("diagonal") < 0, F.when(F.col("diagonal") >= 0, F.col("diagonal")), "seen", "query_start")
+    turn = W.partitionBy(*keys).orderBy(F.col("diagonal") < 0, F.when(F.col("diagonal") >= 0, F.col("diagonal")), "seen", F.col("seen") + F.col("diagonal"), "query_start")
     out = seeds.withColumn("seed_id", (F.row_number().over(turn) - 1).cast("long")).drop("seen")
     length = F.col("query_end") - F.col("query_start") + 1
     return out.withColumns({"length": length, "db_length": F.col("db_end") - F.col("db_start") + 1, "density": F.col("match_count") / length, "coverage": F.col("match_count") * p.k / length})
@@ -142,71 +158,15 @@ def extension_potential(seeds: DataFrame) -> DataFrame:
     return seeds.select(*PAIR, "seed_id", ((F.col("query_start") > 0) & (F.col("db_start") > 0)).alias("left"), F.lit(True).alias("right"), (F.col("score") * 0.3).alias("estimated_score"), level.alias("confidence"))
 
 
-#: Letters of a flank that are walked before the next ones are even split: most walks stop in the first part.
-PARTS = (64, 1024, 1 << 30)
-
-
-def walked(rows: DataFrame, name: str, a: Column, b: Column, match: float, mismatch: float, drop: float, floor: float | None = None) -> DataFrame:
-    """``rows`` with the struct ``name``, of a walk along two flanks from their start: highest sum (best), length there (at), whether a rule stopped it, steps, whether it fell by the drop.
-
-    It stops after a step at which the sum is more than ``drop`` below its
-    highest value, or below minus ``floor``. Each part is a column of its own,
-    which is not computed for walks that have stopped.
-    """
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("at"), F.lit(False).alias("stop"), F.lit(0).alias("steps"), F.lit(False).alias("fell"))
-
-    def step(s: Column, same: Column) -> Column:
-        now = s.sum + F.when(same, float(match)).otherwise(float(mismatch))
-        better, steps = now > s.best, s.steps + 1
-        best = F.when(better, now).otherwise(s.best)
-        fell = now < best - abs(float(drop))
-        stop = fell if floor is None else fell | (now < -abs(float(floor)))
-        new = F.struct(now.alias("sum"), best.alias("best"), F.when(better, steps).otherwise(s.at).alias("at"), stop.alias("stop"), steps.alias("steps"), fell.alias("fell"))
-        return F.when(s.stop, s).otherwise(new)
-
-    rows, low = rows.withColumn(name, start), 0
-    n = F.least(F.length(a), F.length(b))
-    for high in PARTS:
-        width = F.least(n, F.lit(high)) - low
-        part = lambda x: F.split(F.substring(x, F.lit(low + 1), width), "")  # noqa: B023, E731
-        state = F.col(name)
-        rows = rows.withColumn(name, F.when(state.stop | (n <= low), state).otherwise(F.aggregate(F.zip_with(part(a), part(b), lambda x, y: x == y), state, step)))
-        low = high
-    return rows
-
-
-def _with_flanks(seeds: DataFrame, queries: DataFrame, databases: DataFrame) -> DataFrame:
-    """Seeds with both sequences, and the flanks no longer than the shorter side."""
-    out = seeds.join(queries.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query")), "query_id").join(databases.select(F.col("seq_id").alias("db_id"), F.col("seq").alias("database")), "db_id")
-    left = F.least("query_start", "db_start").cast("int")
-    right = F.least(F.length("query") - F.col("query_end") - 1, F.length("database") - F.col("db_end") - 1).cast("int")
-    cut = lambda s, start, n: F.substring(F.col(s), (start + 1).cast("int"), n)
-    return out.withColumns(
-        {
-            "left_q": F.reverse(cut("query", F.col("query_start") - left, left)), "left_d": F.reverse(cut("database", F.col("db_start") - left, left)),
-            "right_q": cut("query", F.col("query_end") + 1, right), "right_d": cut("database", F.col("db_end") + 1, right),
-        }
-    )
-
-
-def _grown(rows: DataFrame, p: Search | Diagonal, floor: float | None) -> DataFrame:
-    for side in ("left", "right"):
-        rows = walked(rows, side, F.col(f"{side}_q"), F.col(f"{side}_d"), p.match, p.mismatch, p.drop, floor)
-    rows = rows.drop("left_q", "left_d", "right_q", "right_d")
-    rows = rows.withColumns({"query_start": F.col("query_start") - F.col("left.at"), "db_start": F.col("db_start") - F.col("left.at"), "query_end": F.col("query_end") + F.col("right.at"), "db_end": F.col("db_end") + F.col("right.at")})
-    part = lambda s, side: F.substring(F.col(s), (F.col(f"{side}_start") + 1).cast("int"), (F.col(f"{side}_end") - F.col(f"{side}_start") + 1).cast("int"))
-    return rows.withColumns({"query_alignment": part("query", "query"), "db_alignment": part("database", "db")}).drop("query", "database")
-
-
 def identity(a: Column, b: Column) -> Column:
     """Whole per cent of equal letters; 0 for unequal lengths."""
     same = alignment_stats(a, b).matches
     return F.when((F.length(a) == F.length(b)) & (F.length(a) > 0), js_round(F.try_divide(same * 100.0, F.length(a)))).otherwise(F.lit(0).cast("long"))
 
 
-def extend_live(seeds: DataFrame, queries: DataFrame, databases: DataFrame, p: Search = Search()) -> DataFrame:
+def extend_live(seeds: DataFrame, queries: DataFrame, databases: DataFrame, p: Search = Search(), few: bool = False) -> DataFrame:
     """Ungapped extension to either side."""
-    rows = _grown(_with_flanks(seeds, queries, databases), p, None)
+    rows = extended(seeds, queries, databases, p.match, p.mismatch, p.drop, few=few)
     score = F.col("score") + F.col("left.best") + F.col("right.best")
     rows = rows.withColumns({"seed_score": F.col("score"), "score": score, "length": F.col("query_end") - F.col("query_start") + 1, "identity": identity(F.col("query_alignment"), F.col("db_alignment"))})
     return rows.select(*PAIR, "seed_id", *SPANS, "query_alignment", "db_alignment", "seed_score", "score", "length", "identity")
@@ -218,9 +178,9 @@ def ranked(extensions: DataFrame) -> DataFrame:
     return extensions.withColumn("final_id", (F.row_number().over(order) - 1).cast("long"))
 
 
-def extend_by_diagonal(seeds: DataFrame, queries: DataFrame, databases: DataFrame, p: Diagonal = Diagonal()) -> DataFrame:
+def extend_by_diagonal(seeds: DataFrame, queries: DataFrame, databases: DataFrame, p: Diagonal = Diagonal(), few: bool = False) -> DataFrame:
     """Ungapped extension with a second rule to stop, and how each side ended."""
-    rows = _grown(_with_flanks(seeds, queries, databases), p, p.floor)
+    rows = extended(seeds, queries, databases, p.match, p.mismatch, p.drop, p.floor, few)
     stats = alignment_stats("query_alignment", "db_alignment")
     rows = rows.withColumns(
         {

@@ -2,38 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import kmers, matches, seeds
+from ..operators import kmers, packed, seeds
 from ..params import Diagonal, Search
 
 STAGES = ("kmers", "matches", "seeds", "extensions", "results")
 
 
-def search(queries: DataFrame, databases: DataFrame, p: Search = Search()) -> dict[str, DataFrame]:
-    """The frames of all stages by name; nothing runs until one is used."""
-    q, d = kmers.generate(queries, p.k), kmers.generate(databases, p.k)
-    found = matches.exact(q, d)
-    seeded = seeds.live(found, p)
-    grown = seeds.ranked(seeds.extend_live(seeded, queries, databases, p))
-    return dict(zip(STAGES, (q, found, seeded, grown, seeds.results(grown))))
+class Stages(Mapping):
+    """The frames of the stages by name, each planned when it is first asked for.
+
+    ``dealt`` are matches with the task that holds all of a pair's, ``totals``
+    numbers of matches and k-mers of each pair.
+    """
+
+    def __init__(self, made: dict[str, Callable[[], DataFrame]]) -> None:
+        self._made, self._known = made, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            self._known[name] = self._made[name]()
+        return self._known[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(STAGES)
+
+    def __len__(self) -> int:
+        return len(STAGES)
+
+
+def _stages(queries: DataFrame, databases: DataFrame, p: Search | Diagonal, seeded: Callable, grown: Callable) -> Stages:
+    known: dict[str, bool] = {}
+
+    def few() -> bool:
+        if "few" not in known:
+            known["few"] = packed.few_letters(queries)
+        return known["few"]
+
+    out = Stages(
+        {
+            "kmers": lambda: kmers.generate(queries, p.k),
+            "met": lambda: packed.met(queries, databases, p.k, few=few()),
+            "dealt": lambda: packed.matches(out["met"], p.k),
+            "matches": lambda: out["dealt"].drop("task"),
+            "totals": lambda: packed.totals(packed.met(queries, databases, p.k, True, few())),
+            "statistics": lambda: packed.statistics(packed.met(queries, databases, p.k, True, few()), queries, p.k),
+            "seeds": lambda: seeded(out),
+            "extensions": lambda: seeds.ranked(grown(out["seeds"], queries, databases, p, few())),
+            "results": lambda: seeds.results(out["extensions"]),
+        }
+    )
+    return out
+
+
+def search(queries: DataFrame, databases: DataFrame, p: Search = Search()) -> Stages:
+    return _stages(queries, databases, p, lambda s: seeds.live(s["dealt"], p), seeds.extend_live)
+
 
+def search_by_diagonal(queries: DataFrame, databases: DataFrame, p: Diagonal = Diagonal()) -> Stages:
+    def seeded(s: Stages) -> DataFrame:
+        # runs stand for matches where those of a run always follow each other
+        whole = 1 - p.k <= p.max_gap
+        return seeds.by_diagonal(packed.runs(s["met"], p.k, p.max_gap, p.min_matches < 2) if whole else s["dealt"], p)
 
-def search_by_diagonal(queries: DataFrame, databases: DataFrame, p: Diagonal = Diagonal()) -> dict[str, DataFrame]:
-    q, d = kmers.generate(queries, p.k), kmers.generate(databases, p.k)
-    found = matches.exact(q, d)
-    seeded = seeds.by_diagonal(found, p)
-    grown = seeds.ranked(seeds.extend_by_diagonal(seeded, queries, databases, p))
-    return dict(zip(STAGES, (q, found, seeded, grown, seeds.results(grown))))
+    return _stages(queries, databases, p, seeded, seeds.extend_by_diagonal)
 
 
-def summary(stages: dict[str, DataFrame]) -> DataFrame:
+def summary(stages: Stages) -> DataFrame:
     """query_id, db_id: numbers of matches, seeds and results, and the best score (0 if none)."""
-    pair = matches.PAIR
-    m = stages["matches"].groupBy(*pair).agg(F.count("*").alias("matches"), F.countDistinct("kmer").alias("unique_kmers"))
+    pair = ["query_id", "db_id"]
     # each seed has one extension, so these tell of seeds and results both
     good = F.col("score") > 0
     e = stages["extensions"].groupBy(*pair).agg(F.count("*").alias("seeds"), F.count_if(good).alias("results"), F.max(F.when(good, F.col("score"))).alias("best_score"))
-    out = m.join(e, pair, "left")
+    out = stages["totals"].join(e, pair, "left")
     return out.select(*pair, "matches", "unique_kmers", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("seeds", "results")), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))

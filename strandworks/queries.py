@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import sequences as S
 from .operators import align, dotplot, editing, kmers, matches, scoring, seeds, validate
 from .params import Affine, Diagonal, Linear, Local, Search, match_matrix, scoring_summary, transition_matrix
-from .plans.search import search, search_by_diagonal, summary
+from .plans.search import Stages, search, search_by_diagonal, summary
 from .plans.synteny import synteny
 from .sources import catalog, export, tables
 
@@ -203,7 +203,7 @@ def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MATCHES} SELECT *, row_number() OVER (PARTITION BY query_id, db_id ORDER BY query_pos, db_pos) - 1 AS match_id FROM m")
 def kmer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.numbered(_matches(spark, sf_dir))
+    return matches.numbered(_live(spark, sf_dir)["dealt"])
 
 
 @query(f"WITH {MATCHES} SELECT query_id, db_id, count(DISTINCT kmer) AS unique_kmers FROM m GROUP BY ALL")
@@ -245,7 +245,7 @@ s AS (SELECT query_id, db_id, count(*) AS total, count(DISTINCT query_pos) AS qu
 SELECT s.*, t.most_frequent, t.unique_kmers, total / unique_kmers AS average, db_positions * {K} / length(d.seq) AS coverage FROM s JOIN t USING (query_id, db_id) JOIN d ON d.seq_id = db_id"""
 )
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.statistics(_matches(spark, sf_dir), _lengths(spark, sf_dir), K)
+    return _live(spark, sf_dir)["statistics"]
 
 
 @query(f"WITH {MATCHES}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id, db_id, kmer) AS frequency FROM m) SELECT * FROM n WHERE frequency >= 2")
@@ -265,27 +265,27 @@ def approximate_kmer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- seeds and extensions ---------------------------------------------------
-def _live(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _live(spark: SparkSession, sf_dir: str) -> Stages:
     return search(tables.queries_of(spark, sf_dir), tables.databases_of(spark, sf_dir), LIVE)
 
 
-def _diagonal(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _diagonal(spark: SparkSession, sf_dir: str) -> Stages:
     return search_by_diagonal(tables.queries_of(spark, sf_dir), tables.databases_of(spark, sf_dir), BY_DIAGONAL)
 
 
 @query(f"WITH {LIVE_SQL} SELECT * FROM live")
 def live_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _live(spark, sf_dir)["seeds"]
+    return _live(spark, sf_dir)["seeds"].drop("task")
 
 
 @query(f"WITH {DIAGONAL_SQL} SELECT * FROM diag")
 def diagonal_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diagonal(spark, sf_dir)["seeds"]
+    return _diagonal(spark, sf_dir)["seeds"].drop("task")
 
 
 @query(f"WITH {DIAGONAL_SQL} SELECT * FROM diag WHERE score >= 60 AND length >= 14 AND density >= 0.1 AND db_start <= 300 AND db_end >= 20")
 def filtered_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.overlapping_region(seeds.at_least(_diagonal(spark, sf_dir)["seeds"], score=60, length=14, density=0.1), "db", 20, 300)
+    return seeds.overlapping_region(seeds.at_least(_diagonal(spark, sf_dir)["seeds"].drop("task"), score=60, length=14, density=0.1), "db", 20, 300)
 
 
 @query(
