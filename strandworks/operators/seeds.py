@@ -31,20 +31,26 @@ def live(matches: DataFrame, p: Search = Search()) -> DataFrame:
     runs are put together, and the last row of a run becomes its seed.
     """
     keys = keys_of(matches)
-    order = W.partitionBy(*keys).orderBy("db_pos", "query_pos")
-    q, d = F.col("query_pos"), F.col("db_pos")
+    # sorted by one number of the pair first, and by one for both positions: most comparisons see no more than the first
+    place = F.shiftleft(F.col("db_pos").cast("long"), 32) + F.col("query_pos").cast("long")
+    rows = matches.select(*keys, F.xxhash64(*keys).alias("pair"), place.alias("place"))
+    order = W.partitionBy("pair", *keys).orderBy("place")
 
-    def close(q_step: Column, d_step: Column) -> Column:
+    def close(place: Column, before: Column) -> Column:
+        q_step, d_step = F.col(place) % (1 << 32) - F.col(before) % (1 << 32), F.shiftright(place, 32) - F.shiftright(before, 32)
         return F.coalesce((F.abs(q_step - d_step) <= p.max_gap) & (q_step - p.k <= p.max_gap) & (d_step - p.k <= p.max_gap), F.lit(False))
 
-    ends = {"q0": F.lag(q).over(order), "d0": F.lag(d).over(order), "q1": F.lead(q).over(order), "d1": F.lead(d).over(order), "nth": F.row_number().over(order)}
-    rows = matches.select(*keys, "query_pos", "db_pos").withColumns(ends).select(*keys, q, d, "nth", (~close(q - F.col("q0"), d - F.col("d0"))).alias("new"), (~close(F.col("q1") - q, F.col("d1") - d)).alias("last"))
+    rows = rows.withColumns({"before": F.lag("place").over(order), "after": F.lead("place").over(order), "nth": F.row_number().over(order)})
+    rows = rows.select(*keys, "pair", "place", "nth", (~close("place", "before")).alias("new"), (~close("after", "place")).alias("last"))
     if p.min_matches > 1:
         rows = rows.filter(~(F.col("new") & F.col("last")))
-    first = F.last(F.when(F.col("new"), F.struct("db_pos", "query_pos", "nth")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("a", first).filter("last").withColumn("match_count", (F.col("nth") - F.col("a.nth") + 1).cast("long")).filter(F.col("match_count") >= p.min_matches)
-    number = (F.row_number().over(W.partitionBy(*keys).orderBy("a.db_pos", "a.query_pos")) - 1).cast("long")
-    spans = {"query_start": F.col("a.query_pos"), "query_end": q + p.k - 1, "db_start": F.col("a.db_pos"), "db_end": d + p.k - 1}
+    # both rise, so that the last start of a run is the greatest so far
+    last_new = lambda c: F.max(F.when(F.col("new"), F.col(c))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumns({"start": last_new("place"), "first": last_new("nth")}).filter("last").withColumn("match_count", (F.col("nth") - F.col("first") + 1).cast("long")).filter(F.col("match_count") >= p.min_matches)
+    # places of runs rise as their last matches do
+    number = (F.row_number().over(order) - 1).cast("long")
+    start, end = F.col("start"), F.col("place")
+    spans = {"query_start": start % (1 << 32), "query_end": end % (1 << 32) + p.k - 1, "db_start": F.shiftright(start, 32), "db_end": F.shiftright(end, 32) + p.k - 1}
     out = rows.withColumn("seed_id", number).select(*PAIR, *keys[2:] and ["task"], "seed_id", *(c.cast("long").alias(n) for n, c in spans.items()), "match_count", (F.col("match_count") * p.k * float(p.match)).alias("score"))
     return out.withColumn("length", F.col("query_end") - F.col("query_start") + 1)
 
@@ -54,21 +60,24 @@ def by_diagonal(matches: DataFrame, p: Diagonal = Diagonal()) -> DataFrame:
     keys = keys_of(matches)
     n = F.col("n") if "n" in matches.columns else F.lit(1).alias("n")
     rows = matches.select(*keys, F.col("query_pos").cast("long").alias("query_pos"), (F.col("db_pos") - F.col("query_pos")).cast("long").alias("diagonal"), n)
-    order = W.partitionBy(*keys, "diagonal").orderBy("query_pos")
+    rows = rows.withColumn("line", F.xxhash64(*keys, "diagonal"))  # sorted by this first: most comparisons see no more
+    order = W.partitionBy("line", *keys, "diagonal").orderBy("query_pos")
     to_here = order.rowsBetween(W.unboundedPreceding, 0)
     ending = F.col("query_pos") + F.col("n") - 1
     far = lambda step: ~F.coalesce(step - p.k <= p.max_gap, F.lit(False))
     rows = rows.withColumns({"before": F.lag(ending).over(order), "after": F.lead("query_pos").over(order), "all": F.sum("n").over(to_here), "seen": F.first("query_pos").over(to_here)})
-    rows = rows.select(*keys, "diagonal", "query_pos", "n", "all", "seen", far(F.col("query_pos") - F.col("before")).alias("new"), far(F.col("after") - ending).alias("last"))
+    rows = rows.select(*keys, "line", "diagonal", "query_pos", "n", "all", "seen", far(F.col("query_pos") - F.col("before")).alias("new"), far(F.col("after") - ending).alias("last"))
     rows = rows.filter(~(F.col("new") & F.col("last") & (F.col("n") < p.min_matches)))
-    first = F.last(F.when(F.col("new"), F.struct("query_pos", (F.col("all") - F.col("n")).alias("earlier"))), ignorenulls=True).over(to_here)
-    rows = rows.withColumn("a", first).filter("last").withColumn("match_count", F.col("all") - F.col("a.earlier")).filter(F.col("match_count") >= p.min_matches)
-    start, end = F.col("a.query_pos"), ending + p.k - 1
+    # both rise, so that the last start of a run is the greatest so far
+    last_new = lambda c: F.max(F.when(F.col("new"), c)).over(to_here)
+    rows = rows.withColumns({"start": last_new(F.col("query_pos")), "earlier": last_new(F.col("all") - F.col("n"))}).filter("last").withColumn("match_count", F.col("all") - F.col("earlier")).filter(F.col("match_count") >= p.min_matches)
+    start, end = F.col("start"), ending + p.k - 1
     spans = {"query_start": start, "query_end": end, "db_start": start + F.col("diagonal"), "db_end": end + F.col("diagonal")}
     seeds = rows.select(*PAIR, *keys[2:] and ["task"], "diagonal", "seen", *(c.cast("long").alias(name) for name, c in spans.items()), "match_count", (F.col("match_count") * p.k * 2.0).alias("score"))
     # diagonals come as from 0 upwards, then the negative ones in the order of their first match
-    turn = W.partitionBy(*keys).orderBy(F.col("diagonal") < 0, F.when(F.col("diagonal") >= 0, F.col("diagonal")), "seen", F.col("seen") + F.col("diagonal"), "query_start")
-    out = seeds.withColumn("seed_id", (F.row_number().over(turn) - 1).cast("long")).drop("seen")
+    negative = (1 << 62) + F.shiftleft("seen", 31) + F.col("seen") + F.col("diagonal")
+    turn = W.partitionBy("pair", *keys).orderBy(F.when(F.col("diagonal") >= 0, F.col("diagonal")).otherwise(negative), "query_start")
+    out = seeds.withColumn("pair", F.xxhash64(*keys)).withColumn("seed_id", (F.row_number().over(turn) - 1).cast("long")).drop("seen", "pair")
     length = F.col("query_end") - F.col("query_start") + 1
     return out.withColumns({"length": length, "db_length": F.col("db_end") - F.col("db_start") + 1, "density": F.col("match_count") / length, "coverage": F.col("match_count") * p.k / length})
 
