@@ -251,7 +251,7 @@ def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     whole = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
     order = np.argsort(asked, kind="stable")
     asked, asker = asked[order], asker[order]
-    order = np.argsort(right["bucket"].to_numpy(), kind="stable")
+    order = np.lexsort((ids, right["bucket"].to_numpy()))  # by id in each bucket: of equal scores the first stay
     bucket, ids, x = right["bucket"].to_numpy()[order], ids[order], x[order]
     floor = left["floor"].fill_null(-np.inf).to_numpy().copy() if "floor" in left.column_names else np.full(len(queries), -np.inf)
     kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -272,17 +272,26 @@ def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         floor[row[full]] = score[full]
         return [a[place < k] for a in (row, vec, score)]
 
+    def blocks(who: np.ndarray, start: int, stop: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        """A bucket and its queries in blocks, so that products never take more than STRETCH squared."""
+        for a in range(start, stop, STRETCH):
+            for u in range(0, len(who), STRETCH):
+                yield who[u : u + STRETCH], a, min(a + STRETCH, stop)
+
     def meetings() -> Iterator[tuple[np.ndarray, int, int]]:
         for a, b in zip(*_runs(bucket)):
-            yield asker[np.searchsorted(asked, bucket[a], "left") : np.searchsorted(asked, bucket[a], "right")], a, b
-        for a in range(0, len(bucket), STRETCH):
-            yield whole, a, min(a + STRETCH, len(bucket))
+            yield from blocks(asker[np.searchsorted(asked, bucket[a], "left") : np.searchsorted(asked, bucket[a], "right")], a, b)
+        yield from blocks(whole, 0, len(bucket))
 
     for who, a, b in meetings():
-        if not len(who):
-            continue
         s = q[who] @ x[a:b].T
-        hit = (s >= floor[who][:, None]) & (queries[who][:, None] != ids[None, a:b])
+        s[queries[who][:, None] == ids[None, a:b]] = -np.inf
+        hit = (s >= floor[who][:, None]) & (s > -np.inf)
+        most = k + (b - a) - len(np.unique(ids[a:b]))  # rows that repeat an id take no other's place
+        if most < b - a and hit.sum() > most * len(who):
+            least = np.partition(s, -most, axis=1)[:, -most][:, None]
+            above, ties = s > least, s == least
+            hit &= above | (ties & (ties.cumsum(axis=1) <= most - above.sum(axis=1)[:, None]))
         r, c = np.nonzero(hit)
         for to, values in zip(waiting, (who[r], ids[a:b][c], s[r, c])):
             to.append(values)

@@ -35,6 +35,8 @@ TOPICS = (("contact", "[a-z0-9]@[a-z0-9]"), ("licence", "[Ll]icen[cs]e"), ("figu
 #: Default targets: shares in proportion to tokens to this power, so that large sources count for less.
 TEMPERATURE = 0.9
 ROUNDS = 8
+#: Copies of a document that one task makes.
+SPLIT = 64
 SEED = "mix-1"
 
 
@@ -96,17 +98,29 @@ def cell_rates(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
     return saved(fit.select(*DIMS, F.col("fitted").alias("weight"), (F.col("ratio") / F.lit(top or 1.0)).alias("prob"), (F.col("ratio") * F.lit(all_tokens or 1.0)).alias("rate")), "mix-rates")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, topics=TOPICS, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``mix_``: source, lang, topic, n_tokens, weight, prob, copies, kept (at least one copy)."""
-    rates = cell_rates(docs, targets, topics, temperature, rounds).select(F.struct(*DIMS).alias("cell_"), "weight", "prob", "rate")
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, topics=TOPICS, temperature: float = TEMPERATURE, rounds: int = ROUNDS, rates: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``mix_``: source, lang, topic, n_tokens, weight, prob, rate, copies, kept (at least one copy)."""
+    rates = cell_rates(docs, targets, topics, temperature, rounds) if rates is None else rates
+    rates = rates.select(F.struct(*DIMS).alias("cell_"), "weight", "prob", "rate")
     own = keyed(docs, topics).withColumn("cell_", F.struct(*(F.col(f"mix_.{c}").alias(c) for c in DIMS)))
-    whole = F.floor("rate_.rate").cast("int")
-    copies = whole + (draw(F.col("doc_id"), seed) < F.col("rate_.rate") - whole).cast("int")
+    whole = F.floor("rate_.rate").cast("long")
+    copies = whole + (draw(F.col("doc_id"), seed) < F.col("rate_.rate") - whole).cast("long")
     joined = own.join(rates.select("cell_", F.struct("weight", "prob", "rate").alias("rate_")), "cell_", "left")
-    return joined.withColumn("mix_", F.struct("mix_.*", "rate_.weight", "rate_.prob", copies.alias("copies"), (copies > 0).alias("kept"))).drop("cell_", "rate_")
-
-
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as its ``copies`` say, with the columns of ``docs`` alone."""
-    kept = mix(docs, **options).filter("mix_.kept")
-    return kept.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("mix_.copies")))).select(*docs.columns)
+    return joined.withColumn("mix_", F.struct("mix_.*", "rate_.weight", "rate_.prob", "rate_.rate", copies.alias("copies"), (copies > 0).alias("kept"))).drop("cell_", "rate_")
+
+
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, topics=TOPICS, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
+    """The documents, each as often as its ``copies`` say, with the columns of ``docs`` alone.
+
+    A document of more than SPLIT copies is sent to as many tasks as hold
+    SPLIT copies each, so that no target makes one task repeat a row without end.
+    """
+    rates = cell_rates(docs, targets, topics, temperature, rounds)
+    kept = mix(docs, seed=seed, topics=topics, rates=rates).filter("mix_.kept")
+    each = lambda rows, n: rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    if not rates.filter(F.col("rate") > SPLIT).count():  # a table of cells
+        return each(kept, F.col("mix_.copies"))
+    few = each(kept.filter(F.col("mix_.copies") <= SPLIT), F.col("mix_.copies"))
+    often = kept.filter(F.col("mix_.copies") > SPLIT).withColumn("part_", F.explode(F.sequence(F.lit(0), F.floor((F.col("mix_.copies") - 1) / SPLIT).cast("int"))))
+    often = often.withColumn("salt_", F.xxhash64("doc_id", "text", "part_")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "salt_")
+    return few.union(each(often, F.least(F.lit(SPLIT), F.col("mix_.copies") - F.col("part_") * SPLIT)))

@@ -16,7 +16,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix(docs).select(
         "doc_id", "mix_.source", "mix_.lang", "mix_.topic", "mix_.n_tokens",
-        F.round("mix_.weight", 8).alias("weight"), F.round("mix_.prob", 8).alias("prob"), (mixing.draw(F.col("doc_id")) < F.col("mix_.prob")).alias("kept"),
+        F.round("mix_.weight", 8).alias("weight"), F.round("mix_.rate", 8).alias("rate"), "mix_.copies", "mix_.kept",
     )
 
 
@@ -125,9 +125,10 @@ def _mixing_sql() -> str:
         for dim in mixing.DIMS:
             parts.append(f"f{n + 1} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, f.tokens, f.fitted * t.target / sum(f.fitted) OVER (PARTITION BY f.{dim}) AS fitted FROM f{n} f JOIN t_{dim} t USING ({dim}))")
             n += 1
-    parts.append(f"r AS (SELECT *, (fitted / tokens) / (SELECT max(fitted / tokens) FROM f{n}) AS prob FROM f{n})")
+    parts.append(f"r AS (SELECT *, (fitted / tokens) * (SELECT sum(tokens) FROM c) AS rate FROM f{n})")
     draw = f"('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
-    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(fitted, 8) AS weight, round(prob, 8) AS prob, {draw} < prob AS kept FROM d JOIN r USING (source, lang, topic)"
+    parts.append(f"k AS (SELECT *, floor(rate)::BIGINT + ({draw} < rate - floor(rate))::BIGINT AS copies FROM d JOIN r USING (source, lang, topic))")
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(fitted, 8) AS weight, round(rate, 8) AS rate, copies, copies > 0 AS kept FROM k"
 
 
 OP8_SQL = f"""
