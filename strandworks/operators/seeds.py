@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.sequences import js_round, round1
 from ..params import Diagonal, Search
+from ..sources.working import saved
 from .extension import extended, walked
 from .matches import PAIR
 from .packed import keys_of
@@ -93,13 +94,44 @@ def overlapping_region(rows: DataFrame, side: str, low: int | Column, high: int
     return rows.filter((F.col(f"{side}_start") <= F.lit(high)) & (F.col(f"{side}_end") >= F.lit(low)))
 
 
+#: Width of the smallest cells of the grid in which overlapping rows meet.
+CELL = 32
+
+
 def overlapping_pairs(rows: DataFrame, number: str = "seed_id") -> DataFrame:
-    """Rows of one pair that overlap on both axes, once each, with the overlaps."""
-    a = rows.select(*PAIR, *(F.col(c).alias("a_" + c) for c in (number, *SPANS)))
-    b = rows.select(*PAIR, *(F.col(c).alias("b_" + c) for c in (number, *SPANS)))
-    lap = lambda side: F.least(f"a_{side}_end", f"b_{side}_end") - F.greatest(f"a_{side}_start", f"b_{side}_start") + 1
-    both = a.join(b, PAIR).filter(F.col(f"a_{number}") < F.col(f"b_{number}"))
-    return both.withColumns({"query_overlap": lap("query"), "db_overlap": lap("db")}).filter("query_overlap > 0 and db_overlap > 0").select(*PAIR, f"a_{number}", f"b_{number}", "query_overlap", "db_overlap")
+    """Rows of one pair that overlap on both axes, once each, with the overlaps.
+
+    Rows meet in cells of a grid over both axes, not by their pair alone. Each
+    row has the level whose cells are about as wide as it is, so that it lies
+    in few of them, and looks for wider rows in the cells of their levels; two
+    rows are told in the cell that holds the greater of their starts.
+    """
+    rows = saved(rows.select(*PAIR, number, *SPANS), "overlaps")
+    width = F.greatest(F.col("query_end") - F.col("query_start"), F.col("db_end") - F.col("db_start")) + 1
+    rows = rows.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(width / CELL))).cast("int"))
+    present = sorted(r.level for r in rows.select("level").distinct().collect())  # at most one for each power of two
+    at = F.array(*map(F.lit, present)) if present else F.array().cast("array<int>")
+
+    def cells(df: DataFrame, side: str, levels: Column) -> DataFrame:
+        df = df.select(*PAIR, *(F.col(c).alias(f"{side}_{c}") for c in (number, *SPANS, "level")), F.explode(levels).alias("grid"))
+        size = F.expr(f"shiftleft({CELL}L, grid)")
+        for axis in ("query", "db"):
+            df = df.withColumn(f"{axis}_cell", F.explode(F.sequence(F.floor(F.col(f"{side}_{axis}_start") / size), F.floor(F.col(f"{side}_{axis}_end") / size))))
+        return df
+
+    a = cells(rows, "a", F.filter(at, lambda x: x >= F.col("level")))
+    b = cells(rows, "b", F.array("level"))
+    both = a.join(b, [*PAIR, "grid", "query_cell", "db_cell"])
+    size = F.expr(f"shiftleft({CELL}L, grid)")
+    lap = {}
+    for axis in ("query", "db"):
+        start = F.greatest(f"a_{axis}_start", f"b_{axis}_start")
+        lap[f"{axis}_overlap"] = F.least(f"a_{axis}_end", f"b_{axis}_end") - start + 1
+        both = both.filter(F.floor(start / size) == F.col(f"{axis}_cell"))
+    # rows of one level meet from both sides
+    both = both.filter((F.col("a_level") < F.col("b_level")) | (F.col(f"a_{number}") < F.col(f"b_{number}"))).withColumns(lap).filter("query_overlap > 0 and db_overlap > 0")
+    low, high = F.least(f"a_{number}", f"b_{number}").alias(f"a_{number}"), F.greatest(f"a_{number}", f"b_{number}").alias(f"b_{number}")
+    return both.select(*PAIR, low, high, "query_overlap", "db_overlap")
 
 
 def without_redundant(seeds: DataFrame, most: float = 0.5) -> DataFrame:
@@ -206,8 +238,9 @@ def extend_by_diagonal(seeds: DataFrame, queries: DataFrame, databases: DataFram
 
 def extension_statistics(ext: DataFrame) -> DataFrame:
     first = lambda by: F.max_by("seed_id", F.struct(F.col(by), (-F.col("seed_id")).alias("first")))
+    tenths = F.sum(js_round(F.col("identity") * 10))  # whole numbers: the mean doesn't depend on the order of rows
     return ext.groupBy(*PAIR).agg(
-        F.count("*").alias("extensions"), F.avg("score").alias("average_score"), F.avg("length").alias("average_length"), F.avg("identity").alias("average_identity"),
+        F.count("*").alias("extensions"), F.avg("score").alias("average_score"), F.avg("length").alias("average_length"), (tenths / (10 * F.count("*"))).alias("average_identity"),
         first("score").alias("best"), first("length").alias("longest"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.min("length").alias("min_length"), F.max("length").alias("max_length"),
     )
 

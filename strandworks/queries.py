@@ -264,6 +264,15 @@ def approximate_kmer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.close_kmers(k, k, 14)
 
 
+def _overlaps_sql(of: str) -> str:
+    """Rows meet in the cells of a grid, and a pair is told in the cell that holds its greater starts."""
+    return f"""cq AS (SELECT query_id, db_id, seed_id, query_start, query_end, db_start, db_end, unnest(range(query_start // 32, query_end // 32 + 1)) AS cq FROM {of}),
+cells AS MATERIALIZED (SELECT *, unnest(range(db_start // 32, db_end // 32 + 1)) AS cd FROM cq)
+SELECT a.query_id, a.db_id, a.seed_id AS a_seed_id, b.seed_id AS b_seed_id, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1 AS query_overlap, least(a.db_end, b.db_end) - greatest(a.db_start, b.db_start) + 1 AS db_overlap
+FROM cells a JOIN cells b ON a.query_id = b.query_id AND a.db_id = b.db_id AND a.cq = b.cq AND a.cd = b.cd WHERE a.seed_id < b.seed_id AND a.query_start <= b.query_end AND b.query_start <= a.query_end AND a.db_start <= b.db_end AND b.db_start <= a.db_end
+AND a.cq = greatest(a.query_start, b.query_start) // 32 AND a.cd = greatest(a.db_start, b.db_start) // 32"""
+
+
 # --- seeds and extensions ---------------------------------------------------
 def _live(spark: SparkSession, sf_dir: str) -> Stages:
     return search(tables.queries_of(spark, sf_dir), tables.databases_of(spark, sf_dir), LIVE)
@@ -288,10 +297,7 @@ def filtered_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.overlapping_region(seeds.at_least(_diagonal(spark, sf_dir)["seeds"].drop("task"), score=60, length=14, density=0.1), "db", 20, 300)
 
 
-@query(
-    f"""WITH {DIAGONAL_SQL} SELECT a.query_id, a.db_id, a.seed_id AS a_seed_id, b.seed_id AS b_seed_id, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1 AS query_overlap, least(a.db_end, b.db_end) - greatest(a.db_start, b.db_start) + 1 AS db_overlap
-FROM diag a JOIN diag b ON a.query_id = b.query_id AND a.db_id = b.db_id AND a.seed_id < b.seed_id AND a.query_start <= b.query_end AND b.query_start <= a.query_end AND a.db_start <= b.db_end AND b.db_start <= a.db_end"""
-)
+@query(f"WITH {DIAGONAL_SQL}, {_overlaps_sql('diag')}")
 def overlapping_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.overlapping_pairs(_diagonal(spark, sf_dir)["seeds"])
 
@@ -319,18 +325,19 @@ def extension_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk_sql(name: str, side: str, drop: float, floor: float | None) -> str:
-    """Sums along one flank, the first stop, and the first highest sum up to it."""
-    at = "substr(q.seq, s.query_start - t + 1, 1) = substr(d.seq, s.db_start - t + 1, 1)" if side == "left" else "substr(q.seq, s.query_end + t + 1, 1) = substr(d.seq, s.db_end + t + 1, 1)"
+    """One letter more at each step, of the seeds alone that no rule has stopped."""
+    at = "substr(q.seq, w.query_start - w.t, 1) = substr(d.seq, w.db_start - w.t, 1)" if side == "left" else "substr(q.seq, w.query_end + w.t + 2, 1) = substr(d.seq, w.db_end + w.t + 2, 1)"
     n = "least(s.query_start, s.db_start)" if side == "left" else "least(length(q.seq) - s.query_end - 1, length(d.seq) - s.db_end - 1)"
-    stop = f"cum < greatest(top, 0) - {drop}" + (f" OR cum < -{floor}" if floor is not None else "")
-    return f"""{name}1 AS (SELECT s.query_id, s.db_id, s.seed_id, t, sum(CASE WHEN {at} THEN 2.0 ELSE -1.0 END) OVER (PARTITION BY s.query_id, s.db_id, s.seed_id ORDER BY t) AS cum FROM seeds s JOIN q ON q.seq_id = s.query_id JOIN d ON d.seq_id = s.db_id, unnest(range(1, ({n}) + 1)) AS u(t)),
-{name}2 AS (SELECT *, max(cum) OVER (PARTITION BY query_id, db_id, seed_id ORDER BY t) AS top FROM {name}1),
-{name}3 AS (SELECT *, min(CASE WHEN {stop} THEN t END) OVER (PARTITION BY query_id, db_id, seed_id) AS stop FROM {name}2),
-{name} AS (SELECT query_id, db_id, seed_id, greatest(max(cum), 0)::DOUBLE AS gain, CASE WHEN max(cum) > 0 THEN arg_max(t, (cum, -t)) ELSE 0 END AS steps FROM {name}3 WHERE stop IS NULL OR t <= stop GROUP BY ALL)"""
+    spans = "query_start, db_start" if side == "left" else "query_end, db_end"
+    now = f"w.cum + CASE WHEN {at} THEN 2 ELSE -1 END"
+    stop = f"now < greatest(now, best) - {drop}" + (f" OR now < -{floor}" if floor is not None else "")
+    return f"""{name}w AS (SELECT s.query_id, s.db_id, s.seed_id, {spans}, {n} AS n, 0 AS t, 0 AS cum, 0 AS best, 0 AS place, false AS stop FROM seeds s JOIN q ON q.seq_id = s.query_id JOIN d ON d.seq_id = s.db_id
+  UNION ALL SELECT query_id, db_id, seed_id, {spans}, n, t + 1, now, greatest(now, best), CASE WHEN now > best THEN t + 1 ELSE place END, {stop} FROM (SELECT w.*, {now} AS now FROM {name}w w JOIN q ON q.seq_id = w.query_id JOIN d ON d.seq_id = w.db_id WHERE NOT w.stop AND w.t < w.n)),
+{name} AS (SELECT query_id, db_id, seed_id, max(best)::DOUBLE AS gain, max(place)::BIGINT AS steps FROM {name}w GROUP BY ALL)"""
 
 
 def _extension_sql(seed_sql: str, seed: str, drop: float, floor: float | None) -> str:
-    return f"""{seed_sql}, seeds AS (SELECT * FROM {seed}), {_walk_sql('lw', 'left', drop, floor)}, {_walk_sql('rw', 'right', drop, floor)},
+    return f"""{seed_sql}, seeds AS MATERIALIZED (SELECT * FROM {seed}), {_walk_sql('lw', 'left', drop, floor)}, {_walk_sql('rw', 'right', drop, floor)},
 e0 AS (SELECT s.*, coalesce(lw.gain, 0) AS lg, coalesce(rw.gain, 0) AS rg, coalesce(lw.steps, 0) AS ls, coalesce(rw.steps, 0) AS rs FROM seeds s LEFT JOIN lw USING (query_id, db_id, seed_id) LEFT JOIN rw USING (query_id, db_id, seed_id)),
 e1 AS (SELECT query_id, db_id, seed_id, query_start - ls AS query_start, query_end + rs AS query_end, db_start - ls AS db_start, db_end + rs AS db_end, score AS seed_score, lg, rg, ls, rs, score + lg + rg AS score FROM e0),
 e2 AS (SELECT e1.*, substr(q.seq, query_start + 1, query_end - query_start + 1) AS query_alignment, substr(d.seq, db_start + 1, db_end - db_start + 1) AS db_alignment, query_end - query_start + 1 AS length FROM e1 JOIN q ON q.seq_id = query_id JOIN d ON d.seq_id = db_id),
@@ -342,7 +349,7 @@ _DIAG_EXT = _extension_sql(DIAGONAL_SQL, "diag", 5, 1)
 
 
 @query(
-    f"""WITH {_LIVE_EXT} SELECT query_id, db_id, seed_id, query_start, query_end, db_start, db_end, query_alignment, db_alignment, seed_score, score, length,
+    f"""WITH RECURSIVE {_LIVE_EXT} SELECT query_id, db_id, seed_id, query_start, query_end, db_start, db_end, query_alignment, db_alignment, seed_score, score, length,
 CASE WHEN length(query_alignment) = length(db_alignment) THEN floor(same * 100.0 / length(query_alignment) + 0.5)::BIGINT ELSE 0 END AS identity, row_number() OVER (PARTITION BY query_id, db_id ORDER BY score DESC, seed_score DESC, seed_id) - 1 AS final_id FROM e3 WHERE score > 0"""
 )
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,13 +359,13 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIAG_FINAL = f"""{_DIAG_EXT}, e AS (SELECT query_id, db_id, seed_id, query_start, query_end, db_start, db_end, query_alignment, db_alignment, seed_score, lg AS left_score, rg AS right_score, score, length, ls AS left_length, rs AS right_length, floor(same * 1000.0 / length(query_alignment) + 0.5) / 10 AS identity FROM e3)"""
 
 
-@query(f"WITH {_DIAG_FINAL} SELECT * FROM e")
+@query(f"WITH RECURSIVE {_DIAG_FINAL} SELECT * FROM e")
 def diagonal_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagonal(spark, sf_dir)["extensions"].select("query_id", "db_id", "seed_id", *seeds.SPANS, "query_alignment", "db_alignment", "seed_score", "left_score", "right_score", "score", "length", "left_length", "right_length", "identity")
 
 
 @query(
-    f"""WITH {_DIAG_FINAL} SELECT query_id, db_id, count(*) AS extensions, avg(score) AS average_score, avg(length) AS average_length, avg(identity) AS average_identity, arg_max(seed_id, (score, -seed_id)) AS best, arg_max(seed_id, (length, -seed_id)) AS longest,
+    f"""WITH RECURSIVE {_DIAG_FINAL} SELECT query_id, db_id, count(*) AS extensions, avg(score) AS average_score, avg(length) AS average_length, sum(floor(identity * 10 + 0.5)::BIGINT) / (10 * count(*)) AS average_identity, arg_max(seed_id, (score, -seed_id)) AS best, arg_max(seed_id, (length, -seed_id)) AS longest,
 min(score) AS min_score, max(score) AS max_score, min(length) AS min_length, max(length) AS max_length FROM e GROUP BY ALL"""
 )
 def extension_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +373,7 @@ def extension_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DIAG_FINAL} SELECT query_id, db_id, seed_id, floor(seed_score * 1000.0 / score + 0.5) / 10 AS seed_share, floor(left_score * 1000.0 / score + 0.5) / 10 AS left_share, floor(right_score * 1000.0 / score + 0.5) / 10 AS right_share,
+    f"""WITH RECURSIVE {_DIAG_FINAL} SELECT query_id, db_id, seed_id, floor(seed_score * 1000.0 / score + 0.5) / 10 AS seed_share, floor(left_score * 1000.0 / score + 0.5) / 10 AS left_share, floor(right_score * 1000.0 / score + 0.5) / 10 AS right_share,
 CASE WHEN left_length + right_length > 0 THEN (left_score + right_score) / (left_length + right_length) ELSE 0 END AS efficiency, abs(left_score - right_score) < seed_score * 0.1 AS balanced,
 floor(least(score / 20.0, 1) * 40 + least(length / 50.0, 1) * 30 + identity * 0.3 + 0.5)::BIGINT AS quality FROM e"""
 )
@@ -374,23 +381,20 @@ def extension_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.analyse(_diagonal(spark, sf_dir)["extensions"])
 
 
-@query(
-    f"""WITH {_DIAG_FINAL} SELECT a.query_id, a.db_id, a.seed_id AS a_seed_id, b.seed_id AS b_seed_id, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1 AS query_overlap, least(a.db_end, b.db_end) - greatest(a.db_start, b.db_start) + 1 AS db_overlap
-FROM e a JOIN e b ON a.query_id = b.query_id AND a.db_id = b.db_id AND a.seed_id < b.seed_id AND a.query_start <= b.query_end AND b.query_start <= a.query_end AND a.db_start <= b.db_end AND b.db_start <= a.db_end"""
-)
+@query(f"WITH RECURSIVE {_DIAG_FINAL}, {_overlaps_sql('e')}")
 def overlapping_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.overlapping_pairs(_diagonal(spark, sf_dir)["extensions"])
 
 
 @query(
-    f"""WITH {_LIVE_EXT}, m1 AS (SELECT query_id, db_id, count(*) AS matches, count(DISTINCT kmer) AS unique_kmers FROM m GROUP BY ALL), s1 AS (SELECT query_id, db_id, count(*) AS seeds FROM live GROUP BY ALL), r1 AS (SELECT query_id, db_id, count(*) AS results, max(score) AS best_score FROM e3 WHERE score > 0 GROUP BY ALL)
+    f"""WITH RECURSIVE {_LIVE_EXT}, m1 AS (SELECT query_id, db_id, count(*) AS matches, count(DISTINCT kmer) AS unique_kmers FROM m GROUP BY ALL), s1 AS (SELECT query_id, db_id, count(*) AS seeds FROM live GROUP BY ALL), r1 AS (SELECT query_id, db_id, count(*) AS results, max(score) AS best_score FROM e3 WHERE score > 0 GROUP BY ALL)
 SELECT query_id, db_id, matches, unique_kmers, coalesce(seeds, 0) AS seeds, coalesce(results, 0) AS results, coalesce(best_score, 0) AS best_score FROM m1 LEFT JOIN s1 USING (query_id, db_id) LEFT JOIN r1 USING (query_id, db_id)"""
 )
 def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(_live(spark, sf_dir))
 
 
-@query(f"WITH {_LIVE_EXT}, t AS (SELECT query_id, db_id, seed_id, score, row_number() OVER (PARTITION BY query_id, db_id ORDER BY score DESC, seed_id) AS rank FROM e3) SELECT * FROM t WHERE rank <= 3")
+@query(f"WITH RECURSIVE {_LIVE_EXT}, t AS (SELECT query_id, db_id, seed_id, score, row_number() OVER (PARTITION BY query_id, db_id ORDER BY score DESC, seed_id) AS rank FROM e3) SELECT * FROM t WHERE rank <= 3")
 def top_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.top(_live(spark, sf_dir)["results"], 3).select("query_id", "db_id", "seed_id", "score", "rank")
 
@@ -706,7 +710,7 @@ def local_hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("pair_id", "hit", export.alignment_block("aligned1", "aligned2", F.col("start1"), F.col("start2"), F.col("end1"), F.col("end2")).alias("block"))
 
 
-@query(f"WITH {_DIAG_FINAL}, z AS (SELECT *, row_number() OVER (PARTITION BY query_id, db_id ORDER BY score DESC, seed_score DESC, seed_id) - 1 AS final_id FROM e) SELECT query_id, db_id, seed_id, score, final_id FROM z WHERE final_id = 0 AND query_start <= 30 AND query_end >= 10 AND identity >= 60 AND length >= 14")
+@query(f"WITH RECURSIVE {_DIAG_FINAL}, z AS (SELECT *, row_number() OVER (PARTITION BY query_id, db_id ORDER BY score DESC, seed_score DESC, seed_id) - 1 AS final_id FROM e) SELECT query_id, db_id, seed_id, score, final_id FROM z WHERE final_id = 0 AND query_start <= 30 AND query_end >= 10 AND identity >= 60 AND length >= 14")
 def extension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best extension of each pair, where it meets a region and the filters."""
     ext = _diagonal(spark, sf_dir)["extensions"].filter("final_id = 0")
@@ -716,7 +720,7 @@ def extension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- details and single look-ups ---------------------------------------------------
 @query(
     f"""WITH {DIAGONAL_SQL}, w AS (SELECT s.query_id, s.db_id, s.seed_id, s.diagonal, count(*) AS n_matches, count(*) FILTER (WHERE l.query_pos > s.query_start AND gap > 0) AS gaps, avg(gap) FILTER (WHERE l.query_pos > s.query_start AND gap > 0) AS average_gap, coalesce(max(gap) FILTER (WHERE l.query_pos > s.query_start AND gap > 0), 0) AS largest_gap, min(l.kmer) AS least_kmer
-FROM diag s JOIN l ON s.query_id = l.query_id AND s.db_id = l.db_id AND s.diagonal = l.diagonal AND l.query_pos BETWEEN s.query_start AND s.query_end - {K} + 1 GROUP BY ALL)
+FROM diag s JOIN l ON s.query_id = l.query_id AND s.db_id = l.db_id AND s.diagonal = l.diagonal AND l.query_pos BETWEEN s.query_start AND s.query_end - {K} + 1 WHERE s.seed_id = 1 GROUP BY ALL)
 SELECT w.*, query_start > 0 AND db_start > 0 AS "left", score * 0.3::DOUBLE AS estimated_score FROM w JOIN diag USING (query_id, db_id, seed_id, diagonal) WHERE seed_id = 1"""
 )
 def seed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
