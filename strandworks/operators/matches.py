@@ -108,27 +108,28 @@ def at_least(matches: DataFrame, n: int) -> DataFrame:
 def without_close(matches: DataFrame, max_gap: int = 1) -> DataFrame:
     """Matches in database order, but for those within ``max_gap`` in both positions of one already kept.
 
-    The choice depends on what was kept before, so each pair is scanned in
-    order; kept matches are looked up by position.
+    The choice depends on what was kept before, so each pair's matches are read
+    in order, batch by batch: a task holds the kept ones that are no more than
+    ``max_gap`` letters back.
     """
-
     reach = range(-max_gap, max_gap + 1)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, kept = None, {}
         for batch in batches:
-            out = []
-            for query, db, rows in zip(batch["query_id"].tolist(), batch["db_id"].tolist(), batch["rows"]):
-                kept: set[tuple[int, int]] = set()
-                for r in rows:
-                    q, d = r["query_pos"], r["db_pos"]
-                    if not any((q + i, d + j) in kept for i in reach for j in reach):
-                        kept.add((q, d))
-                        out.append((query, db, q, d, r["kmer"]))
-            if out:
-                yield pd.DataFrame(out, columns=["query_id", "db_id", "query_pos", "db_pos", "kmer"])
-
-    rows = matches.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("db_pos", "query_pos", "kmer"))).alias("rows"))
-    return rows.mapInPandas(scan, matches.select(*PAIR, "query_pos", "db_pos", "kmer").schema)
+            stays = []
+            for query, db, q, d in zip(*(batch[c].tolist() for c in (*PAIR, "query_pos", "db_pos"))):
+                if (query, db) != pair:
+                    pair, kept = (query, db), {}
+                if kept and next(iter(kept)) < d - max_gap:  # in the order of places
+                    kept = {at: own for at, own in kept.items() if at >= d - max_gap}
+                stays.append(not any(q + i in own for own in kept.values() for i in reach))
+                if stays[-1]:
+                    kept.setdefault(d, set()).add(q)
+            yield batch[pd.Series(stays, batch.index, dtype=bool)]
+
+    rows = matches.select(*PAIR, "query_pos", "db_pos", "kmer").repartition(*PAIR).sortWithinPartitions(*PAIR, "db_pos", "query_pos")
+    return rows.mapInPandas(scan, rows.schema)
 
 
 def close_kmers(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

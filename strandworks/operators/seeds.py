@@ -137,31 +137,40 @@ def overlapping_pairs(rows: DataFrame, number: str = "seed_id") -> DataFrame:
 def without_redundant(seeds: DataFrame, most: float = 0.5) -> DataFrame:
     """Seeds in the order of score, but for those that overlap a kept one by more than ``most`` on both axes.
 
-    Each choice depends on those before it, so a pair's seeds are scanned in order.
+    Each choice depends on those before it, so a pair's seeds are read in
+    order, batch by batch: a task holds the kept seeds of one pair, listed by
+    the cells of the database that they cover.
     """
-
     names = [c for c in seeds.columns if c not in PAIR]
+    wide = 2 * CELL
+
+    def cells(start: int, end: int) -> range:
+        if most >= 0.5:  # more than half of a seed holds its middle
+            start = end = (start + end) // 2
+        return range(start // wide, end // wide + 1)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, kept = None, {}
         for batch in batches:
-            out = []
-            for query, db, rows in zip(batch["query_id"].tolist(), batch["db_id"].tolist(), batch["rows"]):
-                kept: list[dict] = []
-                for r in rows:
-                    if not any(_share(r, k, "query") > most and _share(r, k, "db") > most for k in kept):
-                        kept.append(r)
-                        out.append((query, db, *(r[c] for c in names)))
-            if out:
-                yield pd.DataFrame(out, columns=[*PAIR, *names])
-
-    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("first"), F.col("seed_id").alias("then"), *names)))
-    return seeds.groupBy(*PAIR).agg(order.alias("rows")).mapInPandas(scan, seeds.select(*PAIR, *names).schema)
-
-
-def _share(r: dict, k: dict, side: str) -> float:
-    """How much of ``r`` lies in ``k``."""
-    start, end = r[f"{side}_start"], r[f"{side}_end"]
-    return max(0, min(end, k[f"{side}_end"]) - max(start, k[f"{side}_start"]) + 1) / (end - start + 1)
+            stays = []
+            for query, db, *span in zip(*(batch[c].tolist() for c in (*PAIR, *SPANS))):
+                if (query, db) != pair:
+                    pair, kept = (query, db), {}
+                q0, q1, d0, d1 = span
+                near = (k for c in cells(d0, d1) for k in kept.get(c, ()))
+                stays.append(not any(_share(q0, q1, k[0], k[1]) > most and _share(d0, d1, k[2], k[3]) > most for k in near))
+                if stays[-1]:
+                    for c in range(d0 // wide, d1 // wide + 1):
+                        kept.setdefault(c, []).append(span)
+            yield batch[pd.Series(stays, batch.index, dtype=bool)]
+
+    rows = seeds.select(*PAIR, *names).repartition(*PAIR).sortWithinPartitions(*PAIR, F.desc("score"), "seed_id")
+    return rows.mapInPandas(scan, rows.schema)
+
+
+def _share(start: int, end: int, low: int, high: int) -> float:
+    """How much of start to end lies in low to high."""
+    return max(0, min(end, high) - max(start, low) + 1) / (end - start + 1)
 
 
 def seed_statistics(seeds: DataFrame) -> DataFrame:
