@@ -93,7 +93,7 @@ def align_local(a: str, b: str, p: Local = Local()) -> list[tuple]:
     at = at[np.argsort(-s[at[:, 0], at[:, 1]], kind="stable")]
     used = np.zeros(s.shape, bool)
     hits: list[tuple] = []
-    taken: list[frozenset] = []
+    holders: dict[tuple[int, int], set[int]] = {}  # the hits that hold a pair of letters
     for i, j in at.tolist():
         if used[i, j]:
             continue
@@ -108,9 +108,15 @@ def align_local(a: str, b: str, p: Local = Local()) -> list[tuple]:
         match = [k for k in pairs if a[cells[k][0] - 1] == b[cells[k][1] - 1]]
         if match:
             kept = cells[match[0] - 1 : match[-1] + 1]
-            met = frozenset(cells[k] for k in pairs if match[0] <= k <= match[-1])
-            if not any(met <= wider for wider in taken):
-                taken.append(met)
+            met = [cells[k] for k in pairs if match[0] <= k <= match[-1]]
+            wider = holders.get(met[0], set())
+            for cell in met[1:]:
+                if not wider:
+                    break
+                wider = wider & holders.get(cell, set())
+            if not wider:
+                for cell in met:
+                    holders.setdefault(cell, set()).add(len(hits))
                 hits.append((*_columns(kept[::-1], a, b), kept[0][0], kept[-1][0], kept[0][1], kept[-1][1], float(s[path[0]])))
     return hits
 

@@ -523,7 +523,7 @@ def affine_tracebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local(threshold=12))
+    hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local())
     return hits.withColumn("s", scoring.alignment_stats("aligned1", "aligned2")).select("pair_id", "hit", "aligned1", "aligned2", "start1", "end1", "start2", "end2", "score", "s.matches", "s.mismatches", "s.gaps", "s.identity")
 
 
@@ -706,7 +706,7 @@ def matrix_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def local_hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as three lines of text with 1-based places."""
-    hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local(threshold=20))
+    hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local())
     return hits.select("pair_id", "hit", export.alignment_block("aligned1", "aligned2", F.col("start1"), F.col("start2"), F.col("end1"), F.col("end2")).alias("block"))
 
 
