@@ -75,10 +75,19 @@ def dense_regions(densities: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def dense(matches: DataFrame, lengths: DataFrame, k: int, window: int = 10, least: float = 0.3) -> DataFrame:
-    """``dense_regions`` of ``density`` for a positive ``least``: only windows with a match are ever made."""
-    reach = max(window - k, -1)
-    starts = F.sequence(F.greatest(F.col("db_pos") - reach, F.lit(0)), F.col("db_pos")) if reach >= 0 else F.array().cast("array<long>")
-    hits = matches.select(*PAIR, F.explode(starts).alias("start")).groupBy(*PAIR, "start").agg((F.count("*") / F.lit(float(window))).alias("density")).filter(F.col("density") >= least)
+    """``dense_regions`` of ``density`` for a positive ``least``, by a sweep.
+
+    A match is in the windows that begin from ``window`` - k before it up to
+    its place: one more at the first of these, one fewer after the last. Only
+    windows that are dense enough are ever made.
+    """
+    reach = window - k
+    ends = F.array(F.struct(F.greatest(F.col("db_pos") - reach, F.lit(0)).alias("start"), F.lit(1).alias("step")), F.struct((F.col("db_pos") + 1).alias("start"), F.lit(-1).alias("step")))
+    steps = matches.filter(F.lit(reach >= 0)).select(*PAIR, F.explode(ends).alias("e")).groupBy(*PAIR, F.col("e.start").alias("start")).agg(F.sum("e.step").alias("step"))
+    order = W.partitionBy(*PAIR).orderBy("start")
+    inside = F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0))
+    spans = steps.select(*PAIR, "start", F.lead("start").over(order).alias("next"), (inside / F.lit(float(window))).alias("density")).filter(F.col("density") >= least)
+    hits = spans.select(*PAIR, F.explode(F.sequence("start", F.col("next") - 1)).alias("start"), "density")
     return hits.join(lengths, "db_id").filter(F.col("start") <= F.col("length") - window).select(*PAIR, "start", "density")
 
 
