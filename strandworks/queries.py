@@ -740,6 +740,23 @@ def matches_by_query_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "db_id", "query_pos", "n", F.col("matches")[0].db_pos.alias("first_db_pos"), F.element_at("matches", -1).db_pos.alias("last_db_pos"))
 
 
+@query(f"WITH {MATCHES} SELECT query_id, db_id, db_pos, count(*) AS n, min(query_pos) AS first_query_pos, max(query_pos) AS last_query_pos FROM m GROUP BY ALL")
+def matches_by_db_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matches.grouped(_matches(spark, sf_dir), "db_pos")
+    return rows.select("query_id", "db_id", "db_pos", "n", F.col("matches")[0].query_pos.alias("first_query_pos"), F.element_at("matches", -1).query_pos.alias("last_query_pos"))
+
+
+@query(
+    f"""WITH RECURSIVE {_LIVE_EXT}, t AS (SELECT *, greatest(length((query_start + 1)::VARCHAR), length((db_start + 1)::VARCHAR))::INT AS w,
+array_to_string(list_transform(range(1, greatest(length(query_alignment), length(db_alignment)) + 1), lambda i: CASE WHEN substr(query_alignment, i, 1) = substr(db_alignment, i, 1) THEN '|' ELSE ' ' END), '') AS bars FROM e3 WHERE score > 0)
+SELECT query_id, db_id, seed_id, lpad((query_start + 1)::VARCHAR, w, ' ') || ' ' || query_alignment || ' ' || (query_end + 1)::VARCHAR || chr(10) || repeat(' ', w + 1) || bars || chr(10) || lpad((db_start + 1)::VARCHAR, w, ' ') || ' ' || db_alignment || ' ' || (db_end + 1)::VARCHAR AS block FROM t"""
+)
+def extension_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as three lines of text with 1-based places."""
+    block = export.alignment_block("query_alignment", "db_alignment", F.col("query_start"), F.col("db_start"), F.col("query_end") + 1, F.col("db_end") + 1)
+    return _live(spark, sf_dir)["results"].select("query_id", "db_id", "seed_id", block.alias("block"))
+
+
 @query(f"WITH {MATCHES} SELECT * FROM m WHERE kmer = 'ATTATA'")
 def matches_of_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.of_kmer(_matches(spark, sf_dir), "attata")
