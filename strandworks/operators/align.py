@@ -3,12 +3,15 @@
 The recurrences run a row at a time in numpy: in a row, the best gap along it
 is a running maximum, so only rows are a loop. The kernels work on one pair
 each inside an Arrow-batched UDF; the way back is read off the scores by
-testing the candidates in the order of their precedence.
+testing the candidates in the order of their precedence. Global and affine
+alignments keep only every so many rows and make the rows between again on the
+way back, so that a pair of n and m letters holds about sqrt(n) * m scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -21,36 +24,78 @@ from ..params import Affine, Linear, Local
 GLOBAL = "aligned1 string, aligned2 string, score double"
 LOCAL = "array<struct<aligned1:string,aligned2:string,start1:long,end1:long,start2:long,end2:long,score:double>>"
 NEAR = 1e-9
+#: Scores of one pair that are held before rows are left out.
+KEEP = 1 << 22
 
 
 def codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
 
-def linear_matrix(a: str, b: str, p: Linear, local: bool = False) -> np.ndarray:
-    """All scores of prefixes (or of the best suffixes of prefixes, never below 0)."""
+class Replayed:
+    """The rows 0 to n of a recurrence, ``step(row, i)`` giving row i from the one before it.
+
+    Rows whose number divides by the stride are kept; the others are made
+    again, a stretch at a time, when one of them is asked for. Up to ``KEEP``
+    scores all rows are kept.
+    """
+
+    def __init__(self, first: np.ndarray, step: Callable[[np.ndarray, int], np.ndarray], n: int):
+        self.step, self.n = step, n
+        self.stride = max(1, min(isqrt(n) + 1, -(-n * first.size // KEEP)))
+        self.kept, self.at, self.stretch = [first], -1, []
+        row = first
+        for i in range(1, n + 1):
+            row = step(row, i)
+            if i % self.stride == 0:
+                self.kept.append(row)
+        self.last = row
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        at, past = divmod(i, self.stride)
+        if past == 0:
+            return self.kept[at]
+        if at != self.at:
+            self.at, self.stretch = at, [self.kept[at]]
+            for k in range(at * self.stride + 1, min((at + 1) * self.stride, self.n + 1)):
+                self.stretch.append(self.step(self.stretch[-1], k))
+        return self.stretch[past]
+
+
+def linear_rows(a: str, b: str, p: Linear, local: bool = False) -> tuple[np.ndarray, Callable[[np.ndarray, int], np.ndarray]]:
+    """Row 0 of the scores of prefixes (or of the best suffixes of prefixes, never below 0), and the step from a row to the next."""
     x, y = codes(a), codes(b)
     steps = np.arange(len(y) + 1) * float(p.gap) + 0.0
-    out = np.zeros((len(x) + 1, len(y) + 1))
-    out[0] = 0 if local else steps
-    for i in range(1, len(x) + 1):
-        row = out[i - 1] + p.gap
-        np.maximum(row[1:], out[i - 1, :-1] + np.where(y == x[i - 1], float(p.match), float(p.mismatch)), out=row[1:])
+
+    def step(above: np.ndarray, i: int) -> np.ndarray:
+        row = above + p.gap
+        np.maximum(row[1:], above[:-1] + np.where(y == x[i - 1], float(p.match), float(p.mismatch)), out=row[1:])
         if local:
             row = np.maximum(row, 0)
             row[0] = 0
-        out[i] = np.maximum.accumulate(row - steps) + steps
+        row = np.maximum.accumulate(row - steps) + steps
         if local:
-            out[i, 0] = 0
+            row[0] = 0
+        return row
+
+    return np.zeros(len(y) + 1) if local else steps, step
+
+
+def linear_matrix(a: str, b: str, p: Linear, local: bool = False) -> np.ndarray:
+    """All scores of ``linear_rows``."""
+    out = np.zeros((len(a) + 1, len(b) + 1))
+    out[0], step = linear_rows(a, b, p, local)
+    for i in range(1, len(a) + 1):
+        out[i] = step(out[i - 1], i)
     return out
 
 
-def _step(s: np.ndarray, a: str, b: str, i: int, j: int, p: Linear) -> str:
+def _step(s: np.ndarray | Replayed, a: str, b: str, i: int, j: int, p: Linear) -> str:
     """The first of diagonal, up, left that explains cell (i, j)."""
-    here = s[i, j]
-    if i and j and abs(here - s[i - 1, j - 1] - (p.match if a[i - 1] == b[j - 1] else p.mismatch)) < NEAR:
+    here, above = s[i][j], s[i - 1] if i else None
+    if i and j and abs(here - above[j - 1] - (p.match if a[i - 1] == b[j - 1] else p.mismatch)) < NEAR:
         return "diagonal"
-    if i and abs(here - s[i - 1, j] - p.gap) < NEAR:
+    if i and abs(here - above[j] - p.gap) < NEAR:
         return "up"
     return "left"
 
@@ -65,19 +110,23 @@ def _columns(path: list[tuple[int, int]], a: str, b: str) -> tuple[str, str]:
 
 
 MOVES = {"diagonal": (1, 1), "up": (1, 0), "left": (0, 1)}
+#: Rows of the three matrices, in the order of precedence of ties inside.
+PAIR, DOWN, ALONG = range(3)
+#: Where a cell of a local matrix came from; borders stop.
+STOP, FROM_BOTH, FROM_ABOVE, FROM_LEFT, USED = 0, 1, 2, 3, 4
 
 
 def align_global(a: str, b: str, p: Linear = Linear()) -> tuple[str, str, float]:
     """Ties: diagonal, then a gap in the second string, then in the first. An empty side leaves both as they are, score 0."""
     if not a or not b:
         return a, b, 0.0
-    s = linear_matrix(a, b, p)
+    s = Replayed(*linear_rows(a, b, p), len(a))
     path = [(len(a), len(b))]
     while path[-1] != (0, 0):
         i, j = path[-1]
         di, dj = MOVES["left" if i == 0 else "up" if j == 0 else _step(s, a, b, i, j, p)]
         path.append((i - di, j - dj))
-    return (*_columns(path, a, b), float(s[-1, -1]))
+    return (*_columns(path, a, b), float(s.last[-1]))
 
 
 def align_local(a: str, b: str, p: Local = Local()) -> list[tuple]:
@@ -88,20 +137,31 @@ def align_local(a: str, b: str, p: Local = Local()) -> list[tuple]:
     """
     if not a or not b:
         return []
-    s = linear_matrix(a, b, p, local=True)
-    at = np.argwhere(s[1:, 1:] >= p.threshold) + 1
-    at = at[np.argsort(-s[at[:, 0], at[:, 1]], kind="stable")]
-    used = np.zeros(s.shape, bool)
+    x, y = codes(a), codes(b)
+    row, step = linear_rows(a, b, p, local=True)
+    way = np.zeros((len(a) + 1, len(b) + 1), np.uint8)  # a byte a cell: where it came from, and whether a hit ran through it
+    high, top = [], []
+    for i in range(1, len(a) + 1):
+        above, row = row, step(row, i)
+        here = row[1:]
+        diagonal = np.abs(here - above[:-1] - np.where(y == x[i - 1], float(p.match), float(p.mismatch))) < NEAR
+        up = np.abs(here - above[1:] - p.gap) < NEAR
+        way[i, 1:] = np.where(here <= NEAR, STOP, np.where(diagonal, FROM_BOTH, np.where(up, FROM_ABOVE, FROM_LEFT)))
+        starts = np.flatnonzero(here >= p.threshold) + 1
+        high.append(starts + i * way.shape[1])
+        top.append(row[starts])
+    at, scores = np.concatenate(high), np.concatenate(top)
+    order = np.argsort(-scores, kind="stable")
     hits: list[tuple] = []
     holders: dict[tuple[int, int], set[int]] = {}  # the hits that hold a pair of letters
-    for i, j in at.tolist():
-        if used[i, j]:
+    for cell, score in zip(at[order], scores[order]):
+        i, j = divmod(int(cell), way.shape[1])
+        if way[i, j] & USED:
             continue
         path = [(i, j)]
-        while i and j and s[i, j] > NEAR:
-            used[i, j] = True
-            di, dj = MOVES[_step(s, a, b, i, j, p)]
-            i, j = i - di, j - dj
+        while came := int(way[i, j]) & ~USED:
+            way[i, j] |= USED
+            i, j = i - (came != FROM_LEFT), j - (came != FROM_ABOVE)
             path.append((i, j))
         cells = path[::-1]
         pairs = [k for k in range(1, len(cells)) if cells[k][0] > cells[k - 1][0] and cells[k][1] > cells[k - 1][1]]
@@ -117,7 +177,7 @@ def align_local(a: str, b: str, p: Local = Local()) -> list[tuple]:
             if not wider:
                 for cell in met:
                     holders.setdefault(cell, set()).add(len(hits))
-                hits.append((*_columns(kept[::-1], a, b), kept[0][0], kept[-1][0], kept[0][1], kept[-1][1], float(s[path[0]])))
+                hits.append((*_columns(kept[::-1], a, b), kept[0][0], kept[-1][0], kept[0][1], kept[-1][1], float(score)))
     return hits
 
 
@@ -130,29 +190,31 @@ def align_affine(a: str, b: str, p: Affine = Affine()) -> tuple[str, str, float]
     """
     a, b = a.upper(), b.upper()
     n, m = len(a), len(b)
-    sub = np.array([[p.matrix.get(x + y, 0.0) for y in b] for x in a])
-    pair, down, along = (np.full((n + 1, m + 1), -np.inf) for _ in range(3))
-    pair[0, 0] = 0
-    along[0, 1:] = p.gap_open + p.end_gap + np.arange(m) * (p.gap_extend + p.end_gap)
-    down[1:, 0] = p.gap_open + p.end_gap + np.arange(n) * (p.gap_extend + p.end_gap)
+    sub = {x: np.array([p.matrix.get(x + y, 0.0) for y in b]) for x in set(a)}
     steps = np.arange(m + 1) * float(p.gap_extend)
-    for i in range(1, n + 1):
-        pair[i, 1:] = np.maximum(np.maximum(pair[i - 1, :-1], down[i - 1, :-1]), along[i - 1, :-1]) + sub[i - 1]
-        down[i, 1:] = np.maximum(pair[i - 1, 1:] + p.gap_open, down[i - 1, 1:] + p.gap_extend)
-        along[i, 1:] = (np.maximum.accumulate(pair[i] - steps) + steps)[:-1] + p.gap_open
-    ends = {"down": down[n, m] + p.end_gap, "along": along[n, m] + p.end_gap, "pair": pair[n, m]}
+    first = np.full((3, m + 1), -np.inf)
+    first[PAIR, 0] = 0
+    first[ALONG, 1:] = p.gap_open + p.end_gap + np.arange(m) * (p.gap_extend + p.end_gap)
+
+    def step(above: np.ndarray, i: int) -> np.ndarray:
+        row = np.full((3, m + 1), -np.inf)
+        row[PAIR, 1:] = above[:, :-1].max(axis=0) + sub[a[i - 1]]
+        row[DOWN, 0] = p.gap_open + p.end_gap + (i - 1) * (p.gap_extend + p.end_gap)
+        row[DOWN, 1:] = np.maximum(above[PAIR, 1:] + p.gap_open, above[DOWN, 1:] + p.gap_extend)
+        row[ALONG, 1:] = (np.maximum.accumulate(row[PAIR] - steps) + steps)[:-1] + p.gap_open
+        return row
+
+    s = Replayed(first, step, n)
+    ends = {DOWN: s.last[DOWN, m] + p.end_gap, ALONG: s.last[ALONG, m] + p.end_gap, PAIR: s.last[PAIR, m]}
     state = max(ends, key=lambda k: ends[k])
     best, i, j, path = ends[state], n, m, [(n, m)]
     while i and j:
-        if state == "pair":
-            i, j = i - 1, j - 1
-            state = max(("pair", "down", "along"), key=lambda k: {"pair": pair, "down": down, "along": along}[k][i, j])
-        elif state == "down":
-            i -= 1
-            state = "pair" if pair[i, j] + p.gap_open >= down[i, j] + p.gap_extend else "down"
-        else:
-            j -= 1
-            state = "pair" if pair[i, j] + p.gap_open >= along[i, j] + p.gap_extend else "along"
+        i, j = i - (state != ALONG), j - (state != DOWN)
+        here = s[i][:, j]
+        if state == PAIR:
+            state = int(here.argmax())
+        elif here[PAIR] + p.gap_open >= here[state] + p.gap_extend:
+            state = PAIR
         path.append((i, j))
     path += [(k, 0) for k in range(i - 1, -1, -1)] if j == 0 else [(0, k) for k in range(j - 1, -1, -1)]
     return (*_columns(path, a, b), float(best))

@@ -626,7 +626,22 @@ def gap_columns_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(gapped(spark, sf_dir).withColumn("w", editing.without_gap_columns("a", "b")), "w", "pair_id")
 
 
-@query()
+#: One key a step; the strings are made tidy by the first and last columns that hold a letter.
+_EDITS = """RECURSIVE ks AS MATERIALIZED (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE upper(substr(event_type, 1, 1)) WHEN 'V' THEN 'right' WHEN 'S' THEN 'gap' WHEN 'E' THEN 'tab' WHEN 'C' THEN 'back' WHEN 'P' THEN 'left' END AS k FROM events),
+own AS (SELECT user_id AS session_id, string_agg(upper(substr(event_type, 1, 1)), '' ORDER BY ts, event_id) AS s FROM events GROUP BY user_id),
+ed AS (SELECT session_id, 0::BIGINT AS n, s AS x, s AS y, 0::BIGINT AS c, 1::BIGINT AS r FROM own
+ UNION ALL SELECT session_id, n, substr(x, lo, hi - lo + 1), substr(y, lo, hi - lo + 1), CASE WHEN hi - lo + 1 < length(x) THEN greatest(0, least(c - lo + 1, hi - lo + 1)) ELSE c END, r FROM
+ (SELECT *, (least(length(x) - length(ltrim(x, '-')), length(y) - length(ltrim(y, '-'))) + 1)::BIGINT AS lo, greatest(length(rtrim(x, '-')), length(rtrim(y, '-')))::BIGINT AS hi FROM
+ (SELECT session_id, n, c, r, rpad(x, greatest(length(x), length(y))::INT, '-') AS x, rpad(y, greatest(length(x), length(y))::INT, '-') AS y FROM
+ (SELECT session_id, n, CASE WHEN r = 1 THEN now ELSE x END AS x, CASE WHEN r = 2 THEN now ELSE y END AS y,
+   CASE WHEN k = 'left' THEN greatest(c - 1, 0) WHEN k = 'right' THEN least(c + 1, length(now)) WHEN k = 'gap' THEN c + 1 WHEN cut AND c > 0 THEN c - 1 ELSE c END AS c, CASE WHEN k = 'tab' THEN 3 - r ELSE r END AS r FROM
+ (SELECT session_id, n, x, y, c, r, k, cut, CASE WHEN k = 'gap' THEN substr(own, 1, c) || '-' || substr(own, c + 1) WHEN cut THEN substr(own, 1, greatest(c - 1, 0)) || substr(own, greatest(c - 1, 0) + 2) ELSE own END AS now FROM
+ (SELECT ed.session_id, ks.n, x, y, c, r, k, CASE WHEN r = 1 THEN x ELSE y END AS own, k = 'back' AND substr(CASE WHEN r = 1 THEN x ELSE y END, greatest(c - 1, 0) + 1, 1) = '-' AS cut FROM ed JOIN ks ON ks.session_id = ed.session_id AND ks.n = ed.n + 1)))))),
+last AS (SELECT * FROM ed SEMI JOIN (SELECT session_id, max(n) AS n FROM ks GROUP BY session_id) USING (session_id, n)),
+worth AS (SELECT *, list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN substr(x, i, 1) = '-' OR substr(y, i, 1) = '-' THEN -2 WHEN substr(x, i, 1) = substr(y, i, 1) THEN 2 ELSE -1 END))::DOUBLE AS score, 2.0::DOUBLE * length(replace(x, '-', '')) AS optimum FROM last)"""
+
+
+@query(f"WITH {_EDITS} SELECT session_id, x AS aligned1, y AS aligned2, c AS \"cursor\", r AS active, n AS n_keys, score, optimum, optimum - score AS improvement FROM worth")
 def edited_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as keys on an alignment of their own sequence with itself."""
     seqs = tables.user_sequences(spark, sf_dir)

@@ -1,6 +1,7 @@
 """Kernels against cell-by-cell recurrences, written from the definitions."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -123,6 +124,40 @@ def test_affine(p):
         assert len(x) == len(y) and x.replace("-", "") == a and y.replace("-", "") == b
 
 
+@pytest.mark.parametrize("p", [Linear(), Linear(1, -1, -1), Linear(1.5, -0.5, -0.75)])
+def test_global_with_rows_left_out(p, monkeypatch):
+    """Rows made again give the same way back, whatever is held."""
+    for held in (1, 40, 300):
+        monkeypatch.setattr(align, "KEEP", held)
+        for _ in range(40):
+            a, b = word(1, 60), word(1, 60)
+            assert align.align_global(a, b, p) == plain_global(a, b, p)
+
+
+@pytest.mark.parametrize("p", [Affine(), Affine(transition_matrix(), -5, -2, 0)])
+def test_affine_with_rows_left_out(p, monkeypatch):
+    pairs = [(word(1, 60), word(1, 60)) for _ in range(60)]
+    whole = [align.align_affine(a, b, p) for a, b in pairs]
+    assert [w[2] for w in whole] == [plain_affine(a, b, p) for a, b in pairs]
+    for held in (1, 300):
+        monkeypatch.setattr(align, "KEEP", held)
+        assert [align.align_affine(a, b, p) for a, b in pairs] == whole
+
+
+@pytest.mark.parametrize(("kernel", "limit"), [(align.align_global, 60), (align.align_affine, 180), (lambda a, b: align.align_local(a, b, Local(threshold=9900))[0], 60)])
+def test_long_pairs_hold_no_matrix(kernel, limit):
+    """5,000 letters on a side: a matrix of doubles is 200 MB."""
+    a = word(5000, 5000)
+    b = a[:2500] + a[2510:]
+    tracemalloc.start()
+    try:
+        found = kernel(a, b)
+        assert tracemalloc.get_traced_memory()[1] < limit * 1_000_000
+    finally:
+        tracemalloc.stop()
+    assert found[0] == a and found[1].replace("-", "") == b and found[1].count("-") == 10
+
+
 def test_golden():
     assert align.align_global("ATCGATCG", "ATCGAATCG") == ("ATCG-ATCG", "ATCGAATCG", 14.0)
     assert align.align_global("", "ACGTA") == ("", "ACGTA", 0.0)

@@ -94,6 +94,77 @@ def test_editing(spark):
     assert (got[2].aligned1, got[2].n_keys) == ("AC--", 0)
 
 
+class PlainEditor:
+    """The editor by its definition: whole strings, made tidy after each change."""
+
+    def __init__(self, a, b):
+        self.first, self.rows, self.cursor, self.active = [a, b], [a, b], 0, 0
+        self.tidy()
+
+    def press(self, key):
+        row, at = self.rows[self.active], self.cursor
+        if key == "ArrowLeft":
+            self.cursor = max(0, at - 1)
+        elif key == "ArrowRight":
+            self.cursor = min(len(row), at + 1)
+        elif key in ("ArrowUp", "ArrowDown", "Tab"):
+            self.active = {"ArrowUp": 0, "ArrowDown": 1, "Tab": 1 - self.active}[key]
+        elif key == "Reset":
+            self.rows, self.cursor, self.active = list(self.first), 0, 0
+        elif key in ("-", " "):
+            self.rows[self.active], self.cursor = row[:at] + "-" + row[at:], at + 1
+        elif key in ("Delete", "Backspace"):
+            back = key == "Backspace" and at > 0
+            if row[at - back : at - back + 1] == "-":
+                self.rows[self.active], self.cursor = row[: at - back] + row[at - back + 1 :], at - back
+        self.tidy()
+
+    def tidy(self):
+        width = max(map(len, self.rows))
+        self.rows = [r.ljust(width, "-") for r in self.rows]
+        full = [i for i in range(width) if self.rows[0][i] != "-" or self.rows[1][i] != "-"]
+        if full and len(full) < width:
+            self.rows = [r[full[0] : full[-1] + 1] for r in self.rows]
+            self.cursor = max(0, min(self.cursor - full[0], len(self.rows[0]))) if len(self.rows[0]) < width else self.cursor
+
+
+def test_editor_equals_plain_strings():
+    import random
+
+    rng, strokes = random.Random(4), ["ArrowLeft", "ArrowRight", "ArrowRight", "ArrowUp", "ArrowDown", "Tab", "-", " ", "-", "Delete", "Backspace", "Reset", "x", None]
+    for n in range(300):
+        a, b = ("".join(rng.choices("AC-" if n % 5 else "-", k=rng.randint(0, 6))) for _ in range(2))
+        one, two = editing.Editor([a, b]), PlainEditor(a, b)
+        for _ in range(60):
+            key = rng.choice(strokes if rng.random() < 0.2 else strokes[:11])
+            one.press(key)
+            two.press(key)
+            assert (one.rows, one.cursor, one.active) == (two.rows, two.cursor, two.active), (a, b, key)
+
+
+def test_edges_of_edits(spark):
+    """Nulls, repeats, ties, empty tables, clashing extra columns."""
+    shape = "session_id long, aligned1 string, aligned2 string, seq_no string, is_key string"
+    sessions = spark.createDataFrame([(1, "AC", "AC", "z", "z"), (1, "G", "G", None, None), (None, "T", "TT", None, None), (None, "T", "TT", None, None), (2, None, "A", None, None), (3, "", None, None, None)], shape)
+    keys = spark.createDataFrame([(1, 2, "-", 0), (1, None, "ArrowRight", 0), (1, 2, None, 0), (None, 1, "-", 0), (9, 1, "-", 0), (3, 1, "-", 0)], "session_id long, seq_no long, key string, n_keys int")
+    got = sorted((tuple(r) for r in editing.fold(sessions, keys).collect()), key=str)
+    assert got == sorted([(1, "A-C", "AC-", 2, 1, 3), (1, "G", "G", 1, 1, 3), (None, "T-", "TT", 0, 1, 0), (None, "T-", "TT", 0, 1, 0), (2, "-", "A", 0, 1, 0), (3, "-", "-", 1, 1, 1)], key=str)
+    assert editing.fold(sessions.limit(0), keys).count() == 0 and editing.fold(sessions, keys.limit(0)).count() == 6
+
+
+def test_a_long_log(spark):
+    """100,000 keys of one session on strings of 200,000 letters, beside many short ones."""
+    import time
+
+    text = "ACGT" * 50_000
+    sessions = spark.createDataFrame([(1, text, text)] + [(i, "ACGT", "ACG") for i in range(2, 500)], "session_id long, aligned1 string, aligned2 string")
+    keys = spark.range(100_000).selectExpr("1L as session_id", "id as seq_no", "case when id % 4 = 3 then '-' else 'ArrowRight' end as key")
+    began = time.time()
+    got = editing.fold(sessions, keys.repartition(8)).filter("session_id = 1").first()
+    assert time.time() - began < 30
+    assert got.n_keys == 100_000 and got.cursor == 100_000 and got.aligned1.count("-") == 25_000 and got.aligned1.startswith("ACG-TAC-")
+
+
 def test_close_matches_scan(spark):
     rows = spark.createDataFrame([(1, 1, 0, 0, "A"), (1, 1, 1, 1, "A"), (1, 1, 2, 2, "A"), (1, 1, 9, 0, "A")], "query_id long, db_id long, query_pos long, db_pos long, kmer string")
     assert sorted((r.query_pos, r.db_pos) for r in matches.without_close(rows).collect()) == [(0, 0), (2, 2), (9, 0)]
@@ -136,7 +207,7 @@ def test_clamp(spark, window, high, want):
 def test_streamed_edits_equal_the_fold(spark, tmp_path):
     from strandworks.streaming.editing import stream_edits
 
-    strokes = ["ArrowRight", "-", "Tab", "Delete", "ArrowLeft", " ", "Backspace", "-"]
+    strokes = ["ArrowRight", "-", "Tab", "Delete", "ArrowLeft", " ", "Backspace", "-", "Reset", "ArrowRight", "-"]
     rows = [(1, i, k, "ACGT", "ACG") for i, k in enumerate(strokes)]
     schema = "session_id long, seq_no long, key string, aligned1 string, aligned2 string"
     for part in (rows[:3], rows[3:]):
