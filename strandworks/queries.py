@@ -519,7 +519,25 @@ def affine_tracebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", "g.aligned1", "g.aligned2", F.col("g.score").alias("optimum"))
 
 
-@query()
+#: All hits. The way back from a cell doesn't depend on where it began, so a cell was run through before its turn just if a higher one's way meets it.
+_LOCAL = f"""RECURSIVE {ITEMS}, fill AS (SELECT pair_id, seq1, seq2, 0::BIGINT AS i, list_transform(range(0, length(seq2) + 1), lambda j: 0::BIGINT) AS r FROM ip
+ UNION ALL SELECT pair_id, seq1, seq2, i + 1, list_reduce(list_transform(range(1, length(seq2) + 1), lambda j: [greatest(0, r[j] + CASE WHEN substr(seq1, i + 1, 1) = substr(seq2, j, 1) THEN 2 ELSE -1 END, r[j + 1] - 2)]), lambda acc, x: list_append(acc, greatest(x[1], acc[len(acc)] - 2)), [0::BIGINT]) FROM fill WHERE i < length(seq1)),
+mat AS MATERIALIZED (SELECT pair_id, any_value(seq1) AS seq1, any_value(seq2) AS seq2, list(r ORDER BY i) AS m FROM fill GROUP BY pair_id),
+cells AS MATERIALIZED (SELECT pair_id, i, j, m[i + 1][j + 1] AS s, x, y, m[i + 1][j + 1] = m[i][j] + CASE WHEN x = y THEN 2 ELSE -1 END AS d, m[i + 1][j + 1] = m[i][j + 1] - 2 AS u
+ FROM (SELECT pair_id, m, a.i, b.j, substr(seq1, a.i, 1) AS x, substr(seq2, b.j, 1) AS y FROM mat, unnest(range(1, length(seq1) + 1)) AS a(i), unnest(range(1, length(seq2) + 1)) AS b(j)) WHERE m[i + 1][j + 1] > 0),
+walk AS (SELECT pair_id, i AS ei, j AS ej, s AS es, i, j FROM cells WHERE s >= 5
+ UNION ALL SELECT pair_id, ei, ej, es, CASE WHEN d OR u THEN i - 1 ELSE i END, CASE WHEN u AND NOT d THEN j ELSE j - 1 END FROM walk JOIN cells USING (pair_id, i, j)),
+met AS MATERIALIZED (SELECT * FROM walk JOIN cells USING (pair_id, i, j)),
+free AS (SELECT pair_id, i AS ei, j AS ej FROM met GROUP BY pair_id, i, j, s HAVING s >= 5 AND max(es) = s),
+cols AS MATERIALIZED (SELECT pair_id, ei, ej, es, i, j, d, CASE WHEN d OR u THEN x ELSE '-' END AS x, CASE WHEN u AND NOT d THEN '-' ELSE y END AS y FROM met SEMI JOIN free USING (pair_id, ei, ej)),
+ends AS (SELECT pair_id, ei, ej, row_number() OVER (PARTITION BY pair_id ORDER BY es DESC, ei, ej) AS rk, lo, hi FROM (SELECT pair_id, ei, ej, es, min(i + j) FILTER (d AND x = y) AS lo, max(i + j) FILTER (d AND x = y) AS hi FROM cols GROUP BY ALL) WHERE lo IS NOT NULL),
+held AS MATERIALIZED (SELECT pair_id, rk, es, i, j, d, x, y, count(*) FILTER (d) OVER (PARTITION BY pair_id, rk) AS n FROM cols JOIN ends USING (pair_id, ei, ej) WHERE i + j BETWEEN lo AND hi),
+inside AS (SELECT DISTINCT pair_id, rk FROM (SELECT h.pair_id, h.rk FROM held h JOIN held g ON g.pair_id = h.pair_id AND g.i = h.i AND g.j = h.j AND g.rk < h.rk AND g.d AND h.d GROUP BY h.pair_id, h.rk, g.rk, h.n HAVING count(*) = h.n)),
+hits AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY rk) - 1 AS hit, string_agg(x, '' ORDER BY i + j) AS aligned1, string_agg(y, '' ORDER BY i + j) AS aligned2, min(i) - 1 AS start1, max(i) AS end1, min(j) - 1 AS start2, max(j) AS end2, any_value(es)::DOUBLE AS score,
+ count(*) FILTER (x = y) AS matches, count(*) FILTER (d AND x <> y) AS mismatches, count(*) FILTER (NOT d) AS gaps, string_agg(CASE WHEN x = y THEN '|' ELSE ' ' END, '' ORDER BY i + j) AS line FROM held ANTI JOIN inside USING (pair_id, rk) GROUP BY pair_id, rk)"""
+
+
+@query(f"WITH {_LOCAL} SELECT * EXCLUDE (line), floor(matches * 1000.0 / length(aligned1) + 0.5) / 10 AS identity FROM hits")
 def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local())
     return hits.withColumn("s", scoring.alignment_stats("aligned1", "aligned2")).select("pair_id", "hit", "aligned1", "aligned2", "start1", "end1", "start2", "end2", "score", "s.matches", "s.mismatches", "s.gaps", "s.identity")
@@ -716,7 +734,10 @@ def matrix_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.matrix_text(align.matrix_cells(tables.part_pairs(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {_LOCAL}, w AS (SELECT *, greatest(length((start1 + 1)::VARCHAR), length((start2 + 1)::VARCHAR))::INT AS width FROM hits)
+SELECT pair_id, hit, lpad((start1 + 1)::VARCHAR, width, ' ') || ' ' || aligned1 || ' ' || end1 || chr(10) || repeat(' ', width + 1) || line || chr(10) || lpad((start2 + 1)::VARCHAR, width, ' ') || ' ' || aligned2 || ' ' || end2 AS block FROM w"""
+)
 def local_hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as three lines of text with 1-based places."""
     hits = align.local_alignments(tables.item_pairs(spark, sf_dir), Local())
