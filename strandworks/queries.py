@@ -505,7 +505,15 @@ def global_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", "g.aligned1", "g.aligned2", "g.score", "s.matches", "s.mismatches", "s.gaps", "s.identity", S.match_line("g.aligned1", "g.aligned2").alias("line"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ITEMS}, {_AFFINE_BACK}, al AS MATERIALIZED (SELECT pair_id, seq1, seq2, x AS a, y AS b, greatest(fp, fd, fa) AS optimum FROM back JOIN fin USING (pair_id, seq1, seq2) WHERE i = 0 AND j = 0),
+c AS (SELECT pair_id, p.i, substr(a, p.i, 1) AS x, substr(b, p.i, 1) AS y FROM al, unnest(range(1, length(a) + 1)) AS p(i)),
+s AS (SELECT *, x <> '-' AND y <> '-' AS letters, CASE WHEN x = '-' THEN 1 WHEN y = '-' THEN 2 ELSE 0 END AS side, {_TRANSITIONS.format(x='x', y='y')} AS worth FROM c),
+o AS (SELECT *, side <> coalesce(lag(side) OVER (PARTITION BY pair_id ORDER BY i), 0) AND side <> 0 AS opens, min(i) FILTER (letters) OVER (PARTITION BY pair_id) AS fst, max(i) FILTER (letters) OVER (PARTITION BY pair_id) AS lst FROM s),
+k AS (SELECT pair_id, coalesce(sum(worth) FILTER (letters AND x = y), 0)::DOUBLE AS match_score, coalesce(sum(worth) FILTER (letters AND x <> y), 0)::DOUBLE AS mismatch_score, count(*) FILTER (opens) AS gap_openings, count(*) FILTER (NOT letters) AS gaps, count(*) FILTER (NOT letters AND (fst IS NULL OR i < fst OR i > lst)) AS ends, count(*) FILTER (letters AND x = y) AS matches, count(*) FILTER (letters AND x <> y) AS mismatches, count(*) AS alignment_length FROM o GROUP BY pair_id)
+SELECT pair_id, a AS aligned1, b AS aligned2, optimum, match_score + mismatch_score - 2 * gap_openings - gaps - ends AS total_score, match_score, mismatch_score, (-2 * gap_openings - gaps)::DOUBLE AS gap_penalty_score, (-ends)::DOUBLE AS end_gap_penalty_score, matches, mismatches, gaps, gap_openings,
+CASE WHEN matches + mismatches > 0 THEN floor(matches * 1000.0 / (matches + mismatches) + 0.5) / 10 END AS identity, alignment_length, replace(a, '-', '') = seq1 AND replace(b, '-', '') = seq2 AS valid FROM k JOIN al USING (pair_id)"""
+)
 def affine_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Affine(transition_matrix())
     rows = tables.item_pairs(spark, sf_dir).withColumn("g", align.affine_alignment("seq1", "seq2", p))
@@ -889,3 +897,31 @@ def substitution_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = [(n, k, v, matrix_type(m), is_symmetric(m)) for n, m in (("match", match_matrix()), ("transition", transition_matrix())) for k, v in sorted(m.items())]
     return spark.createDataFrame(rows, "matrix string, pair string, score double, type string, symmetric boolean")
+
+
+@query(
+    f"""WITH {D}, {_values()}, side AS (SELECT catalog, key, coalesce(level, '') AS level, upper(unnest([seq1, seq2])) AS seq FROM ex), e AS (SELECT catalog, key, level, substr(seq, p.pos + 1, {K}) AS kmer, count(*) AS n FROM side, unnest(range(0, length(seq) - {K} + 1)) AS p(pos) GROUP BY ALL),
+k AS (SELECT substr(seq, p.pos + 1, {K}) AS kmer, count(*) AS met FROM d, unnest(range(0, length(seq) - {K} + 1)) AS p(pos) GROUP BY ALL)
+SELECT catalog, key, level, count(*) AS kmers, count(met) AS found, coalesce(sum(n * met), 0)::BIGINT AS matches FROM e LEFT JOIN k USING (kmer) GROUP BY ALL"""
+)
+def catalog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many k-mers each example has, how many of them the documents hold, and in how many places they meet."""
+    by = ("catalog", "key", "level")
+    sides = catalog.examples(spark).fillna({"level": ""}).select(F.struct(*by).alias("seq_id"), F.explode(F.array(F.upper("seq1"), F.upper("seq2"))).alias("seq"))
+    met = kmers.generate(tables.databases_of(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("met"))
+    rows = kmers.frequencies(kmers.generate(sides, K)).join(met, "kmer", "left")
+    return rows.groupBy(*(F.col(f"seq_id.{c}").alias(c) for c in by)).agg(F.count("*").alias("kmers"), F.count("met").alias("found"), F.coalesce(F.sum(F.col("frequency") * F.col("met")), F.lit(0)).alias("matches"))
+
+
+@query(
+    f"""WITH {COLUMNS}, n AS (SELECT x || y AS pair, count(*) AS n FROM c WHERE x <> '-' AND y <> '-' GROUP BY ALL), t(matrix, type) AS (VALUES ('match', 'Match/Mismatch'), ('transition', 'Transition/Transversion'))
+SELECT matrix, type, true AS symmetric, pair, n, CASE WHEN left(pair, 1) = right(pair, 1) THEN 2 WHEN matrix = 'match' THEN -1 WHEN pair IN ('AG', 'GA', 'CT', 'TC') THEN 0 ELSE -2 END::DOUBLE AS score, n * CASE WHEN left(pair, 1) = right(pair, 1) THEN 2 WHEN matrix = 'match' THEN -1 WHEN pair IN ('AG', 'GA', 'CT', 'TC') THEN 0 ELSE -2 END::DOUBLE AS total FROM n, t"""
+)
+def matrix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each pair of letters that meets in the padded items is worth by each preset matrix."""
+    from .params import is_symmetric, matrix_type
+
+    rows = [(n, matrix_type(m), is_symmetric(m), k, float(v)) for n, m in (("match", match_matrix()), ("transition", transition_matrix())) for k, v in m.items()]
+    matrix = spark.createDataFrame(rows, "matrix string, type string, symmetric boolean, pair string, score double")
+    cols = gapped(spark, sf_dir).select(F.explode(F.zip_with(S.chars("a"), S.chars("b"), lambda x, y: F.concat(x, y))).alias("pair"))
+    return cols.filter("pair not like '%-%'").groupBy("pair").agg(F.count("*").alias("n")).join(matrix, "pair").withColumn("total", F.col("n") * F.col("score"))
