@@ -144,7 +144,7 @@ def test_affine_with_rows_left_out(p, monkeypatch):
         assert [align.align_affine(a, b, p) for a, b in pairs] == whole
 
 
-@pytest.mark.parametrize(("kernel", "limit"), [(align.align_global, 60), (align.align_affine, 180), (lambda a, b: align.align_local(a, b, Local(threshold=9900))[0], 60)])
+@pytest.mark.parametrize(("kernel", "limit"), [(align.align_global, 60), (align.align_affine, 180), (lambda a, b: align.align_local(a, b, Local(threshold=9960))[0], 60)])
 def test_long_pairs_hold_no_matrix(kernel, limit):
     """5,000 letters on a side: a matrix of doubles is 200 MB."""
     a = word(5000, 5000)
