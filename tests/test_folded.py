@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries whose matches were shuffled by pair.
 LOCAL = [
     "matches_by_kmer",
+    "unique_matching_kmers",
 ]
 
 
