@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 LOCAL = [
     "matches_by_kmer",
     "unique_matching_kmers",
+    "overlapping_matches",
 ]
 
 
