@@ -13,6 +13,7 @@ LOCAL = [
     "matches_by_kmer",
     "unique_matching_kmers",
     "overlapping_matches",
+    "matches_by_query_position",
 ]
 
 
