@@ -14,6 +14,7 @@ LOCAL = [
     "unique_matching_kmers",
     "overlapping_matches",
     "matches_by_query_position",
+    "matches_by_db_position",
 ]
 
 
