@@ -15,6 +15,7 @@ LOCAL = [
     "overlapping_matches",
     "matches_by_query_position",
     "matches_by_db_position",
+    "match_diagonals",
 ]
 
 
