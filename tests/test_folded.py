@@ -16,6 +16,7 @@ LOCAL = [
     "matches_by_query_position",
     "matches_by_db_position",
     "match_diagonals",
+    "frequent_matches",
 ]
 
 
