@@ -17,6 +17,7 @@ LOCAL = [
     "matches_by_db_position",
     "match_diagonals",
     "frequent_matches",
+    "dense_match_regions",
 ]
 
 
