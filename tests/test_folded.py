@@ -18,6 +18,7 @@ LOCAL = [
     "match_diagonals",
     "frequent_matches",
     "dense_match_regions",
+    "matches_without_close",
 ]
 
 
