@@ -38,3 +38,11 @@ def test_partitions_grow_in_number(spark, monkeypatch):
     many = packed.partitions(q, d)
     assert many > 10 * least
     assert packed.met(q, d, 6, few=True).rdd.getNumPartitions() == many
+
+
+def test_numbers_of_matches_come_from_few_rows(spark):
+    stages = search(tables.queries_of(spark, SF), tables.databases_of(spark, SF), Q.LIVE)
+    want = matches.numbered(stages["dealt"])
+    got = packed.numbered(stages["by_query"]).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 3 * stages["by_query"].count() < stages["dealt"].count()
