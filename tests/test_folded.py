@@ -3,7 +3,7 @@
 import pytest
 
 from strandworks import queries as Q
-from strandworks.operators import matches, packed
+from strandworks.operators import kmers, matches, packed
 from strandworks.plans.search import search
 from strandworks.sources import tables
 
@@ -52,3 +52,10 @@ def test_numbers_of_matches_come_from_few_rows(spark):
 def test_matrices_are_dealt(spark):
     """Small tables of pairs make many cells: more than one task has to make them."""
     assert Q.score_matrix_cells(spark, SF).rdd.getNumPartitions() >= 32
+
+
+def test_kmers_are_counted_where_they_are(spark, monkeypatch):
+    plan = Q.kmer_frequencies(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "kmer#" in line]
+    monkeypatch.setattr(kmers, "LETTERS", 1 << 10)
+    assert kmers.dealt(tables.databases_of(spark, SF)).rdd.getNumPartitions() > 20
