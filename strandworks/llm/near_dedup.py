@@ -230,14 +230,8 @@ def stars(rows: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame
     return met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), hubs
 
 
-def by_rare_shingles(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a rare enough shingle.
-
-    ``sets``: node, component, hashes. Shingles are ordered by how many sets
-    hold them, as told by a table of CELLS counts, and then by hash. Sets of
-    the wanted similarity share one of the first (100 - PERCENT) % of each in
-    any common order; size and place bound the intersection further.
-    """
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many ``hashes`` each of CELLS cells occurs. The driver gets one row of bytes from each task, not a row object for each cell."""
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS, np.int64)
@@ -247,9 +241,28 @@ def by_rare_shingles(sets: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    found = sets.select("hashes").mapInPandas(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [batch[["cell", "n"]].to_numpy("<i8") for batch in batches]
+        if any(map(len, rows)):
+            yield pd.DataFrame({"rows": [np.concatenate(rows).tobytes()]})
+
+    found = sets.select("hashes").mapInPandas(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros(CELLS, np.int64)
-    table[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    for (rows,) in found.mapInPandas(packed, "rows binary").collect():  # at most 16 * CELLS bytes
+        cells, n = np.frombuffer(rows, "<i8").reshape(-1, 2).T
+        table[cells] = n
+    return table
+
+
+def by_rare_shingles(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare enough shingle.
+
+    ``sets``: node, component, hashes. Shingles are ordered by how many sets
+    hold them, as told by a table of CELLS counts, and then by hash. Sets of
+    the wanted similarity share one of the first (100 - PERCENT) % of each in
+    any common order; size and place bound the intersection further.
+    """
+    table = shingle_counts(sets)
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
