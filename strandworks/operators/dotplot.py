@@ -119,12 +119,22 @@ def probe(cells: DataFrame, points: DataFrame, window: int) -> DataFrame:
 def residue_dots(pairs: DataFrame, kind: str) -> DataFrame:
     """pair_id, i, j, similarity of all residues that are equal or, in proteins, of one group.
 
-    Both sides join by letter group, so no two unlike letters meet.
+    Both sides lie in one row: their places by letter group meet there, so that
+    no residue is shuffled or broadcast and no two unlike letters meet. Rows of
+    one pair_id are one pair, as in a join of both sides.
     """
     from ..functions.sequences import CONSERVATIVE, conservative_group, residue_similarity
 
-    group = lambda c: F.when(F.lit(kind == "PROTEIN") & F.col(c).isin(*"".join(CONSERVATIVE)), conservative_group(c)).otherwise(F.col(c))
-    one = pairs.select("pair_id", F.posexplode(chars("seq1")).alias("i", "a")).withColumn("g", group("a"))
-    two = pairs.select("pair_id", F.posexplode(chars("seq2")).alias("j", "b")).withColumn("g", group("b"))
-    return one.join(two, ["pair_id", "g"]).select("pair_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), residue_similarity("a", "b", kind).alias("similarity")).filter("similarity > 0")
-
+    group = lambda c: F.when(F.lit(kind == "PROTEIN") & c.isin(*"".join(CONSERVATIVE)), conservative_group(c)).otherwise(c)
+    tasks = 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small pairs make many dots
+    rows = pairs.filter("pair_id is not null").repartition(tasks, "pair_id").groupBy("pair_id").agg(F.collect_list("seq1").alias("all1"), F.collect_list("seq2").alias("all2"))
+    rows = rows.select("pair_id", F.explode("all1").alias("seq1"), "all2").select("pair_id", "seq1", F.explode("all2").alias("seq2"))
+    letter = lambda at, x: F.struct(at.cast("long").alias("at"), x.alias("x"), group(x).alias("g"))
+    sides = {side: F.transform(chars(f"seq{side}"), lambda x, at: letter(at, x)) for side in (1, 2)}
+    rows = rows.select("pair_id", *(c.alias(f"side{side}") for side, c in sides.items()))
+    both = F.array_intersect(F.transform("side1", lambda r: r.g), F.transform("side2", lambda r: r.g))
+    rows = rows.select("pair_id", "side1", "side2", F.explode(both).alias("g"))
+    own = lambda side: F.filter(side, lambda r: r.g == F.col("g"))
+    rows = rows.select("pair_id", own("side1").alias("one"), own("side2").alias("two")).select("pair_id", F.explode("one").alias("one"), "two").select("pair_id", "one", F.explode("two").alias("two"))
+    similarity = residue_similarity(F.col("one.x"), F.col("two.x"), kind)
+    return rows.select("pair_id", F.col("one.at").alias("i"), F.col("two.at").alias("j"), similarity.alias("similarity")).filter("similarity > 0")
