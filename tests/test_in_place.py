@@ -16,6 +16,7 @@ ODD = [(1, "ACGTACGGTCA" * 5 + "T" + "ACGTACGGTCA" * 4), (2, "A" * 90 + "C" + "A
 NAMES = [
     "diagonal_seeds", "extension_potential", "filtered_seeds", "seed_statistics", "seeds_without_redundant", "overlapping_seeds", "seed_details", "diagonal_extensions", "extension_analysis",
     "extension_lookup", "extension_statistics", "overlapping_extensions", "live_seeds", "search_results", "search_summary", "top_results", "extension_blocks",
+    "match_diagonals", "seed_gaps", "dense_match_regions", "matches_without_close",
 ]
 
 
@@ -87,3 +88,33 @@ def test_few_at_once(monkeypatch):
         got = in_place.Meeting(texts, p).meet(in_place.Letters(texts, 7), n, 0 * n, False)
         monkeypatch.undo()
         assert len(got.n) > 100 and all((getattr(got, c) == getattr(want, c)).all() for c in ("q_at", "d_at", "q_end", "d_end", "n", "query", "db", "seed_id"))
+
+
+def test_close_matches():
+    """Against a plain scan: words of one letter, of two by turns, and others."""
+    queries = [t for _, t in ODD] + ["ATATATATATATCGATATATATAT", "GCGCGCGCATATATATTTTTTTTTCCCCCCCCGCGCGCGC"]
+    for k in (6, 3, 1):
+        met = in_place.Meeting(pa.array(queries), Search(k=k))
+        n = np.ones(len(queries), np.int64)
+        met.meet(in_place.Letters(pa.array(queries), 7), n, 0 * n, False, False)
+        got, want = [], []
+        for c in in_place.without_close(None, met, {}):
+            got += zip(*(c[name].tolist() for name in ("query", "db", "query_pos", "db_pos")), c["kmer"].to_pylist())
+        for i, a in enumerate(queries):
+            for j, b in enumerate(queries):
+                kept = set()
+                for d in range(len(b) - k + 1):
+                    for q in range(len(a) - k + 1):
+                        same = a[q : q + k] == b[d : d + k] and set(a[q : q + k]) <= set("ATGCNU")
+                        if same and not any((d - x, q + y) in kept for x in (0, 1) for y in (-1, 0, 1)):
+                            kept.add((d, q))
+                            want.append((i, j, q, d, a[q : q + k]))
+        assert len(want) > 1000 and sorted(got) == sorted(want)
+
+
+def test_close_matches_of_shared_numbers(spark, monkeypatch):
+    """A long and a short database of one number are one, whatever length is dealt to several tasks."""
+    q, d = frames(spark, (2, "AC" * 20), (3, "ACA" * 9))
+    want = rows(search(q, d, Q.LIVE)["uncrowded"])
+    monkeypatch.setattr(packed, "LONG", 100)
+    assert rows(search(q, d, Q.LIVE)["uncrowded"]) == want and len(want) > 1000
