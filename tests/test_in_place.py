@@ -118,3 +118,25 @@ def test_close_matches_of_shared_numbers(spark, monkeypatch):
     want = rows(search(q, d, Q.LIVE)["uncrowded"])
     monkeypatch.setattr(packed, "LONG", 100)
     assert rows(search(q, d, Q.LIVE)["uncrowded"]) == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("p", [Diagonal(k=4), Search(k=4), Diagonal(k=3, match=1.0, mismatch=1.0, drop=0.0), Search(k=3, drop=4.0, match=1.5, mismatch=-0.75)])
+def test_walks_are_looked_up(monkeypatch, p):
+    """As letter by letter, near ends and beyond the letters that are looked up."""
+    texts = pa.array([t for _, t in ODD if "N" not in t] + ["ACGGTCATTACGGATCAGT" * 4, "TTACGGTCATTACGCATCAGTACGGTCATT", "C" + "ACGGTCATTACGGATCAGT" * 3])
+    n = np.ones(len(texts), np.int64)
+
+    def grown():
+        met = in_place.Meeting(texts, p)
+        met.walked = met.meet(in_place.Letters(texts, 7), n, 0 * n, False)
+        return met, in_place._grown(met.walked, met)
+
+    met, got = grown()
+    assert met.steps is not None and len(got.same) > 200
+    monkeypatch.setattr(in_place, "_walk", lambda m, P, D, room, sign, rules: in_place.along(m.q.text, m.d.text, P, D, room, sign, *rules))
+    _, want = grown()
+    for side in ("left", "right"):
+        assert all((getattr(got, side)[c] == getattr(want, side)[c]).all() for c in ("best", "at", "stop", "fell"))
+    alike = got.q_end - got.q_at == got.d_end - got.d_at
+    same = in_place._same(met.q.text, met.d.text, got.q_at[alike], got.d_at[alike], (got.q_end - got.q_at + 1)[alike])
+    assert (got.score == want.score).all() and (got.same[alike] == same).all() and (got.same[~alike] == -1).all()
